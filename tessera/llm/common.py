@@ -62,3 +62,8 @@ def row_key(*columns: str | Column) -> list[Column]:
 def held_out(column: str, modulus: int, remainder: int = 2) -> Column:
     """crc32(id as text) mod modulus = remainder; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the frame's size, which for a file scan is the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

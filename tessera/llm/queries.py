@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, token_counts
-from tessera.llm.common import documents
+from tessera.llm import language_id, lm_scoring, packing, quality_fm, substring_dedup, token_counts
+from tessera.llm.common import documents, held_out
 
 #: Token capacity of a packed sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
@@ -19,6 +20,28 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The share of label 1 from which a document counts as good.
+GOOD = 0.7
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = quality_fm.fit(docs, labels, ~held_out("id", 4))
+    scores = quality_fm.score(docs, machine)
+    return scores.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, ~held_out("doc_id", 4))
+    return language_id.predict(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(documents(spark, sf_dir), word_bpe())
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
@@ -28,7 +51,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), word_bpe(), CAPACITY, END_ID)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(documents(spark, sf_dir), ~held_out("doc_id", 7))
+    return scored.withColumn("held_out", held_out("doc_id", 7))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_token_counts, op9_best_fit_packing)
+    f.__name__: f for f in (op2_quality_fm, op3_language_id, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
