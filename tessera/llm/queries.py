@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, lm_scoring, packing, quality_fm, substring_dedup, token_counts
+from tessera.llm import decontamination, language_id, lm_scoring, packing, quality_fm, quality_rules, substring_dedup, token_counts
 from tessera.llm.common import documents, held_out
 
 #: Token capacity of a packed sequence, and the id that ends a document.
@@ -37,6 +37,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated_words(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -57,6 +70,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_fm, op3_language_id, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op2_quality_fm, op3_language_id, op4_winnowing, op5_quality_rules, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
