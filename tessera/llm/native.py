@@ -75,10 +75,11 @@ def rolled(a: Column, width: int, f: Callable[[Column, Column], Column], done: C
 
 def running(lengths: Column) -> Column:
     """Sums of all elements before each, in log2(size) passes."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int"))
     inclusive = F.aggregate(
-        F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")),
+        F.transform(steps, lambda s: F.call_function("shiftleft", F.lit(1), s)),
         lengths,
-        lambda acc, s: F.transform(acc, lambda x, i: x + F.when(i >= F.shiftleft(F.lit(1), s), F.get(acc, i - F.shiftleft(F.lit(1), s))).otherwise(F.lit(0))),
+        lambda acc, by: F.transform(acc, lambda x, i: x + F.when(i >= by, F.get(acc, i - by)).otherwise(F.lit(0))),
     )
     return F.zip_with(inclusive, lengths, lambda a, b: a - b)
 

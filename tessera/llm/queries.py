@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, lm_scoring, packing, quality_fm, quality_rules, substring_dedup, token_counts
+from tessera.llm import decontamination, language_id, lm_scoring, packing, pii, quality_fm, quality_rules, substring_dedup, token_counts
 from tessera.llm.common import documents, held_out
 
 #: Token capacity of a packed sequence, and the id that ends a document.
@@ -24,6 +24,13 @@ def word_bpe() -> str:
 GOOD = 0.7
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.rendered(F.col("all")).alias("spans"))
+
+
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = quality_fm.fit(docs, labels, ~held_out("id", 4))
@@ -70,6 +77,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_fm, op3_language_id, op4_winnowing, op5_quality_rules, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_pii, op2_quality_fm, op3_language_id, op4_winnowing, op5_quality_rules, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
