@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, lm_scoring, packing, pii, quality_fm, quality_rules, substring_dedup, token_counts
+from tessera.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, pii, quality_fm, quality_rules, substring_dedup, token_counts
 from tessera.llm.common import documents, held_out
 
 #: Token capacity of a packed sequence, and the id that ends a document.
@@ -62,6 +62,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(documents(spark, sf_dir), word_bpe())
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
@@ -77,6 +81,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_quality_fm, op3_language_id, op4_winnowing, op5_quality_rules, op6_substring_dedup, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_pii, op2_quality_fm, op3_language_id, op4_winnowing, op5_quality_rules, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_best_fit_packing, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
