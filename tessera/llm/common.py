@@ -15,15 +15,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is spark.checkpoint.dir; only where the session has none (tests) is one made.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where the session has none (tests) is one made."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    elif named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -207,11 +207,11 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
 def annotate(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """The rows as they are, with lang_pred and score behind all columns (which may have these names too)."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def f(batch):
         for part in _predicted(batch, model, [], at):
-            yield {name: batch.column(k) for k, name in enumerate(docs.columns)} | {"__lang_pred": part["lang_pred"], "__score": part["score"]}
+            yield {name: batch.column(k) for k, name in enumerate(names)} | {"__lang_pred": part["lang_pred"], "__score": part["score"]}
 
     return map_arrow(docs, f, schema)
 
