@@ -1,0 +1 @@
+"""A relational engine on Spark: its own SQL dialect, a versioned snapshot store and transactions."""

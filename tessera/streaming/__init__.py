@@ -1,0 +1 @@
+"""Streams are no part of this engine's feature set: every statement is a finite query over a snapshot."""
