@@ -33,44 +33,32 @@ def matches(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def split_words(text: Column, between: str) -> Column:
+    """Words of a text, given what stands between them. Cheaper than extracting matches."""
+    return F.array_remove(F.split(text, between, -1), "")
+
+
 def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shifted(a: Column, by: int) -> Column:
-    """The array without its first `by` elements (empty if it has no more)."""
-    return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
+def hashed_lower(words: Column) -> Column:
+    """Hashes of the words with A-Z in lower case; for a word of ASCII alone that is lower()."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(ascii_lower(w))))
 
 
 def head(a: Column, n: Column) -> Column:
     return F.slice(a, 1, F.greatest(n, F.lit(0)))
 
 
-def zipped(a: Column, by: int, f: Callable[[Column, Column], Column]) -> Column:
-    """f of every element and the one `by` further on; elements without one drop out."""
-    return F.zip_with(head(a, F.size(a) - by), shifted(a, by), f)
-
-
-def rolled(a: Column, width: int, f: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
-    """done(r), where r[i] is f over the runs of `width` elements of a, built up from doubling runs.
-
-    f must not depend on how a run is split where it is a minimum; for hashes every run is split alike.
-    """
-    parts = [1 << k for k in range(width.bit_length()) if width >> k & 1][::-1]
-
-    def double(runs: list[Column], size: int) -> Column:
-        if size * 2 <= width:
-            return let(zipped(runs[-1], size, f), lambda r: double([*runs, r], size * 2))
-        return joined(runs, runs[-1], parts[0], parts[1:])
+def window_hashes(a: Column, width: int) -> Column:
+    """Hash of every run of `width` elements of a bound array."""
+    return head(F.transform(a, lambda x, i: F.xxhash64(x, *[F.get(a, i + k) for k in range(1, width)])), F.size(a) - width + 1)
 
-    def joined(runs: list[Column], out: Column, upto: int, rest: list[int]) -> Column:
-        if not rest:
-            return done(out)
-        more = runs[rest[0].bit_length() - 1]
-        length = F.least(F.size(out), F.greatest(F.size(more) - upto, F.lit(0)))
-        return let(F.zip_with(head(out, length), F.slice(more, upto + 1, length), f), lambda r: joined(runs, r, upto + rest[0], rest[1:]))
 
-    return double([a], 1)
+def window_minima(a: Column, width: int) -> Column:
+    """Smallest of every run of `width` elements of a bound array."""
+    return head(F.transform(a, lambda x, i: F.least(x, *[F.get(a, i + k) for k in range(1, width)])), F.size(a) - width + 1)
 
 
 def running(lengths: Column) -> Column:

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import row_key
-from tessera.llm.native import BROADCAST_ROWS, covered, hashed, let, matches, rolled, text_or_empty, with_struct
+from tessera.llm.native import BROADCAST_ROWS, covered, hashed, let, split_words, text_or_empty, window_hashes, with_struct
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BLANKS = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LINE_DOCUMENTS, KEEP_SHARE, SALTS = 50, 0.5, 32
 
@@ -44,7 +44,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
         )
 
     unequal = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(flagged(h))
-    return let(hashed(words), lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(rolled(w, width, lambda a, b: F.xxhash64(a, b), unequal)))
+    return let(hashed(words), lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(let(window_hashes(w, width), unequal)))
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -52,18 +52,15 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), text_or_empty(text).alias("text"))
     rows = rows.select("doc_id", "host", "text", *row_key("doc_id", "host", "text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    symbols = F.when(F.col("text").rlike(f"[{SYMBOLS}]"), F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).otherwise(F.lit(0))
     value = let(
-        matches(F.col("text"), WORD),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
-    )
-    value = let(
-        value,
-        lambda v: F.struct(
-            v["n_words"].alias("n_words"),
-            F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        split_words(F.col("text"), BLANKS),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            symbols.cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            v["n_repeat_words"].alias("n_repeat_words"),
+            repeated_words(w).alias("n_repeat_words"),
         ),
     )
     return with_struct(rows, ["doc_id", "host", "k1", "k2"], value)
@@ -74,9 +71,8 @@ def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), text_or_empty(text).alias("text"))
     rows = rows.select("host", "text", *row_key("doc_id", "host", "text"))
     lines = rows.select("k1", "k2", "host", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
-    normal = F.regexp_replace(F.lower(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))), r"\p{Z}+", " ")
-    n = F.size(F.split(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")), " "))
-    return lines.select("k1", "k2", "host", F.xxhash64(normal).alias("line"), n.alias("words"))
+    words = lines.select("k1", "k2", "host", F.array_remove(F.split("line", BLANKS), "").alias("w"))
+    return words.select("k1", "k2", "host", F.xxhash64(F.lower(F.array_join("w", " "))).alias("line"), F.size("w").alias("words"))
 
 
 def common_lines(lines: DataFrame, most: int = LINE_DOCUMENTS) -> DataFrame:
