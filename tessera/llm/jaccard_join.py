@@ -44,11 +44,13 @@ from tessera.llm.substring_dedup import rolled
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 #: Common shingles left out on level 0, at most; counted in blocks that have them in HOT_IN_BLOCK sets or more.
-HOT, HOT_IN_BLOCK = 65_536, 6
+HOT, HOT_IN_BLOCK = 65_536, 5
 #: Groups of up to SMALL entities give all their pairs at once.
 SMALL = 8
-#: Stored input bytes for one bucket of signatures; text bytes of a block.
-BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 40_000_000
+#: Stored input bytes for one bucket of signatures; text bytes of a block, which bounds a worker's memory.
+BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
+#: Bits of a signature that travel. Equal ones of different subsets only make more to compare.
+SIGNATURE_BITS = 40
 U64 = np.uint64
 _K = U64(0xA24BAED4963EE407)
 
@@ -256,6 +258,7 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
             _, one = np.unique(own, return_index=True)
             n = np.diff(first)[one]
             sig, of, tag, need = signatures(value[ranges(first[one], n)], np.r_[0, np.cumsum(n)], hot, similarity)
+            sig >>= U64(64 - SIGNATURE_BITS)
             yield from _dealt((sig % U64(buckets)).astype(np.int64), buckets, 0, sig, own[one][of].astype("<i8"), tag, need)
 
     def collide(held):
