@@ -40,7 +40,9 @@ END = CLASSES - 1
 BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 8_000_000
 #: Key ranges over which class triples are summed.
 TRIPLE_RANGES = 64
-DIMENSIONS, NOISE, BATCH, EXAMPLES = 32, 64, 2048, 4_000_000
+DIMENSIONS, NOISE, BATCH = 32, 64, 2048
+#: Training examples drawn from the triples: this many for each token of the corpus, up to the second number.
+EXAMPLES_A_TOKEN, EXAMPLES = 20, 4_000_000
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -370,7 +372,7 @@ class LogBilinear:
         shift = np.log(NOISE * noise).astype(np.float32)
         params = {n: getattr(self, n) for n in ("r", "q", "c1", "c2", "b")}
         sums = {n: np.full_like(p, 1e-4) for n, p in params.items()}
-        steps = max(1, examples // BATCH)
+        steps = max(50, min(examples, EXAMPLES_A_TOKEN * int(total[-1])) // BATCH)
         for step in range(steps):
             key = keys[np.searchsorted(total, rng.integers(0, total[-1], BATCH), "right")].astype(np.int64)
             t, w1, w2 = key % CLASSES, key // CLASSES % CLASSES, key // CLASSES**2
