@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key
+from tessera.llm.common import cut, row_key
 from tessera.llm.native import BROADCAST_ROWS, covered, hashed, let, split_words, text_or_empty, window_hashes, with_struct
 
 WORD, BLANKS = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
@@ -95,8 +95,8 @@ def removed_words(lines: DataFrame, common: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", most: int = LINE_DOCUMENTS, keep: float = KEEP_SHARE) -> DataFrame:
     """Statistics of every row with n_removed, base_failed and kept."""
-    stats = statistics(docs, doc_id, text, host)
-    lines = line_rows(docs, doc_id, text, host)
+    stats = cut(statistics(docs, doc_id, text, host))  # a few numbers a row, used twice
+    lines = line_rows(docs, doc_id, text, host)  # read twice: storing them would cost more than finding them again
     removed = removed_words(lines, common_lines(lines, most))
     # rows with equal keys each put their words into the sum; their share of the words is the same
     copies = stats.groupBy("k1", "k2").agg(F.sum("n_words").alias("all_words"))
