@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15)
 _RINV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

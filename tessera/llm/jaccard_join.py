@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import ASCII_LOWER, Run, mix, ranges, runs, span_hashes
-from tessera.llm.common import cut, id_field, map_arrow, row_key, stored_bytes
+from tessera.llm.common import cut, id_field, map_arrow, releasing, row_key, stored_bytes
 from tessera.llm.components import components
 from tessera.llm.lm_scoring import _press, _unpress
 from tessera.llm.native import maybe_broadcast
@@ -202,7 +202,7 @@ def _by_bucket(df: DataFrame, partitions: int, f: Callable[[dict[int, list[bytes
         if held:
             yield from made(held)
 
-    return df.select("bucket", "kind", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, schema)
+    return df.select("bucket", "kind", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(solve), schema)
 
 
 def _columns(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import ASCII_LOWER, Run, runs, span_hashes
-from tessera.llm.common import cut, id_field, stored_bytes
+from tessera.llm.common import cut, id_field, releasing, stored_bytes
 
 CLASSES = 256
 #: Largest counts that are classes of their own; power-of-two classes come after them, the end of a document is last.
@@ -117,7 +117,7 @@ def _blocks(docs: DataFrame, buckets: int, schema: T.StructType) -> DataFrame:
                 yield from _batches(_block_rows(block, batch.column(0), training, at, buckets), schema)
                 at += 1
 
-    return docs.mapInArrow(run_blocks, schema)
+    return docs.mapInArrow(releasing(run_blocks), schema)
 
 
 def _batches(rows: Iterator[dict], schema: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _counted(blocks: DataFrame, partitions: int, schema: T.StructType) -> DataFr
         yield from _batches(all_rows(), schema)
 
     words = blocks.where("kind = 1").select("block", "bucket", "blob")
-    return words.repartition(partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(count, schema)
+    return words.repartition(partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(releasing(count), schema)
 
 
 class Counts:
@@ -306,7 +306,7 @@ def _resolved(blocks: DataFrame, counted: DataFrame, counts: Counts, partitions:
         yield from _batches(all_rows(), schema)
 
     both = blocks.where("kind = 0").unionByName(counted.where("kind = 2"))
-    return both.repartition(partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(resolve, schema)
+    return both.repartition(partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(releasing(resolve), schema)
 
 
 def _contexts(cls: np.ndarray, begin: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import Run, _Powers, mix, ranges, runs, span_hashes
-from tessera.llm.common import id_field, map_arrow, row_key, stored_bytes
+from tessera.llm.common import id_field, map_arrow, releasing, row_key, stored_bytes
 
 WINDOW, GRAM = 35, 8
 #: Input bytes (as stored) for one bucket; a bucket is what a task holds in memory at a time.
@@ -268,7 +268,7 @@ def repeated_words(docs: DataFrame, buckets: int, partitions: int, window: int =
             yield from out(repeated_spans(held, window, gram))
 
     dealt = _packed(docs, buckets, window, gram).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(solve, "k1 long, k2 long, first int, last int")
+    return dealt.mapInArrow(releasing(solve), "k1 long, k2 long, first int, last int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
