@@ -12,8 +12,11 @@ and shares at least (subsets - k) of them. That excess is also required: an enti
 signatures has no similar partner and is dropped before any pair is made.
 
 Levels. Very common shingles (at most HOT of them) are left out of the domain on level 0, which changes what is
-compared but not the bound. An entity that then has too few subsets also takes part on level 1, with all
-shingles, and if that is too few, on level 2, where each shingle is a subset of its own, which always suffices.
+compared but not the bound. An entity that then has too few subsets also takes part on level 1, where each of its other
+shingles is a subset of its own: a similar set lacks at most a share (1 - s/t) of any set's shingles, so it shares all but that
+many of them. If an entity has no more of them than that, it also takes part on level 2, with subsets of all shingles, and
+if those are too few, on level 3, where each of all shingles is a subset, which always suffices. Two sets that are both short on
+one level meet on a later one.
 
 Links. Entities of a signature group are compared by their whole sets, but a pair only while its two ends are in
 different classes: first each entity with the leader it shares most groups with, then all pairs of small
@@ -129,33 +132,32 @@ def signatures(value: np.ndarray, first: np.ndarray, hot: np.ndarray, similarity
         took = np.full(len(n), -1)
         took[which] = band
         keep = took[owner] >= 0
-        if depth == 0:
+        if depth < 2:
             keep &= cold
         v, own = value[keep], owner[keep]
         tag = (took[own] * 4 + depth).astype(U64)
-        if depth == 2:
+        if depth % 2:
             sig, of = mix(v * _K + tag), own
-            keep_one = np.ones(len(sig), bool)
+            spoiled = n - -(-n * s // t)  # shingles that a similar set may lack
         else:
             parts = np.maximum(2, -(-ends[took[own]] // 2)).astype(U64)
             part = mix(v ^ (tag * _K)) % parts  # numbers 2i and 2i + 1 are the subsets of pair i
             key = own.astype(U64) << U64(40) | part
             order = np.argsort(key)
             key, v, tag = key[order], v[order], tag[order]
-            keep_one = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            at = np.flatnonzero(keep_one)
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             of = (key[at] >> U64(40)).astype(np.int64)
             sums = np.add.reduceat(mix(v + _K), at) if len(at) else np.zeros(0, U64)
             sig = mix(sums + mix(key[at] & U64((1 << 40) - 1)) + tag[at] * _K)
-        subsets = np.bincount(of, minlength=len(n))
-        need = subsets - k
+            spoiled = k
+        need = np.bincount(of, minlength=len(n)) - spoiled
         out.append((sig, of, (took[of] * 4 + depth).astype(np.uint8), np.maximum(1, need[of]).astype(np.uint32)))
         return which[need[which] < 1]
 
     own_band = np.searchsorted(ends, n)
     some = np.flatnonzero(n > 0)
     for which, band in ((some, own_band[some]), ((more := some[n[some] * t // s > ends[own_band[some]]]), own_band[more] + 1)):
-        for depth in range(3):
+        for depth in range(4):
             took = np.full(len(n), -1)
             took[which] = band
             which = level(which, band, depth)
