@@ -8,7 +8,8 @@ Model. A word's class follows from its count alone: each of the largest counts i
 a power of two, words never seen in training are one class, the end of a document another. The log-bilinear model predicts
 the next class from the two before it: a context vector, R[c1] C1 + R[c2] C2, is scored against every
 class vector plus a bias. It is trained in numpy by noise-contrastive estimation on the exact counts of
-class triples in all training documents; there are at most CLASSES**3 of them however large the corpus.
+class triples in all training documents, all of them in each epoch; there are at most CLASSES**3 of them however
+large the corpus.
 Batched matrix products over all contexts then give normalised log-probabilities, and a token's
 log-probability is that of its class plus that of the word within the class, by counts. With unknown words
 as one symbol the probabilities sum to one over the vocabulary.
@@ -40,9 +41,9 @@ END = CLASSES - 1
 BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 8_000_000
 #: Key ranges over which class triples are summed.
 TRIPLE_RANGES = 64
-DIMENSIONS, NOISE, BATCH = 32, 64, 2048
-#: Training examples drawn from the triples: this many for each token of the corpus, up to the second number.
-EXAMPLES_A_TOKEN, EXAMPLES = 20, 4_000_000
+DIMENSIONS, NOISE = 32, 64
+#: Steps of the fit, and batches of contexts in an epoch, which has every triple once, by its count.
+UPDATES, BATCHES = 1600, 16
 
 
 def _press(*arrays: np.ndarray) -> bytes:
@@ -360,41 +361,47 @@ class LogBilinear:
         self.c1, self.c2 = (np.eye(DIMENSIONS, dtype=np.float32) * s for s in (1.0, 0.5))
         self.b = np.zeros(CLASSES, np.float32)
 
-    def fit(self, keys: np.ndarray, counts: np.ndarray, examples: int = EXAMPLES, rate: float = 0.1, seed: int = 23) -> LogBilinear:
-        """Noise-contrastive estimation; noise comes from the classes' shares and is shared in a batch."""
+    def fit(self, keys: np.ndarray, counts: np.ndarray, updates: int = UPDATES, rate: float = 0.3, seed: int = 23) -> LogBilinear:
+        """Noise-contrastive estimation in whole epochs over all triples, each weighted by its count.
+
+        Neither triples nor noise are drawn: a context's row of counts against all classes gives the objective's exact
+        expectation under the noise, which comes from the classes' shares.
+        """
         if not len(keys):
             return self
         rng = np.random.default_rng(seed)
-        total = np.cumsum(counts.astype(np.int64))
-        unigram = np.bincount(keys % CLASSES, counts.astype(float), CLASSES)
+        keys, counts = keys.astype(np.int64), counts.astype(float)
+        unigram = np.bincount(keys % CLASSES, counts, CLASSES)
         noise = (unigram + 1) / (unigram + 1).sum()
         self.b = np.log(noise).astype(np.float32)
         shift = np.log(NOISE * noise).astype(np.float32)
+        contexts, at = np.unique(keys // CLASSES, return_inverse=True)
+        mass = np.bincount(at, counts)
+        batches = min(BATCHES, len(contexts))
+        each = counts.sum() / batches
+        dealt = np.argsort(-mass, kind="stable")  # contexts dealt by mass, so that batches weigh about the same
+        seen = np.zeros((len(contexts), CLASSES), np.float32)
+        seen[at, keys % CLASSES] = counts / each
+        drawn = (mass[:, None] / each * NOISE).astype(np.float32)
         params = {n: getattr(self, n) for n in ("r", "q", "c1", "c2", "b")}
         sums = {n: np.full_like(p, 1e-4) for n, p in params.items()}
-        steps = max(50, min(examples, EXAMPLES_A_TOKEN * int(total[-1])) // BATCH)
-        for step in range(steps):
-            key = keys[np.searchsorted(total, rng.integers(0, total[-1], BATCH), "right")].astype(np.int64)
-            t, w1, w2 = key % CLASSES, key // CLASSES % CLASSES, key // CLASSES**2
-            k = rng.choice(CLASSES, NOISE, p=noise)
-            r1, r2 = self.r[w1], self.r[w2]
-            x = r1 @ self.c1 + r2 @ self.c2
-            up = 1 / (1 + np.exp((x * self.q[t]).sum(1) + self.b[t] - shift[t]))  # d/ds of log sigma
-            down = -1 / (1 + np.exp(-(x @ self.q[k].T + self.b[k] - shift[k])))
-            up, down = (up / BATCH).astype(np.float32), (down / BATCH).astype(np.float32)
-            dx = up[:, None] * self.q[t] + down @ self.q[k]
-            grads = {n: np.zeros_like(p) for n, p in params.items()}
-            np.add.at(grads["q"], t, up[:, None] * x)
-            np.add.at(grads["q"], k, down.T @ x)
-            np.add.at(grads["b"], t, up)
-            np.add.at(grads["b"], k, down.sum(0))
-            grads["c1"], grads["c2"] = r1.T @ dx, r2.T @ dx
-            np.add.at(grads["r"], w1, dx @ self.c1.T)
-            np.add.at(grads["r"], w2, dx @ self.c2.T)
-            now = rate * min(1.0, 2 * (1 - step / steps) + 0.02)
-            for n, p in params.items():
-                sums[n] += grads[n] ** 2
-                p += now * grads[n] / np.sqrt(sums[n])
+        epochs = max(1, updates // BATCHES)
+        for epoch in range(epochs):
+            now = rate * min(1.0, 2 * (1 - epoch / epochs) + 0.02)
+            for own in rng.permutation(batches).tolist():
+                rows = dealt[own::batches]
+                w1, w2 = contexts[rows] % CLASSES, contexts[rows] // CLASSES
+                r1, r2 = self.r[w1], self.r[w2]
+                x = r1 @ self.c1 + r2 @ self.c2
+                true = 1 / (1 + np.exp(np.minimum(shift - self.b - x @ self.q.T, 80)))  # that a class is no noise
+                up = seen[rows] * (1 - true) - drawn[rows] * noise.astype(np.float32) * true
+                dx = up @ self.q
+                grads = {"q": up.T @ x, "b": up.sum(0), "c1": r1.T @ dx, "c2": r2.T @ dx, "r": np.zeros_like(self.r)}
+                np.add.at(grads["r"], w1, dx @ self.c1.T)
+                np.add.at(grads["r"], w2, dx @ self.c2.T)
+                for n, p in params.items():
+                    sums[n] += grads[n] ** 2
+                    p += now * grads[n] / np.sqrt(sums[n])
         return self
 
     def table(self) -> np.ndarray:
