@@ -20,7 +20,7 @@ one level meet on a later one.
 
 Links. Entities of a signature group are compared by their whole sets, but a pair only while its two ends are in
 different classes: first each entity with the leader it shares most groups with, then all pairs of small
-groups and further leaders, at last, for larger groups that still hold several classes, all pairs between the classes. No
+groups and some further leaders, at last, for larger groups that still hold several classes, all pairs between the classes. No
 similar pair is left out, and within a class of copies of any size about one comparison is made for each entity.
 
 Texts with fewer words than a shingle are one shingle of all words. Texts without words, and null texts, are empty
@@ -299,9 +299,9 @@ def _grouped(held: dict, buckets: int) -> Iterator[dict]:
     pair, times = np.unique(np.stack([entity[follows], leader[follows]], 1), axis=0, return_counts=True) if follows.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
     yield from _dealt(pair[:, 0] % buckets, buckets, 0, pair[:, 0].astype("<i8"), pair[:, 1].astype("<i8"), times.astype("<u4"))
     small = []
-    for m in range(3, SMALL + 1):
+    for m in range(2, SMALL + 1):  # with the leader's pairs, of which kind 0 only chooses the first to compare
         at = edge[size == m]
-        small += [np.stack([entity[at + i], entity[at + j]], 1) for i in range(1, m) for j in range(i + 1, m)]
+        small += [np.stack([entity[at + i], entity[at + j]], 1) for i in range(m) for j in range(i + 1, m)]
     if small:
         pairs = np.unique(np.concatenate(small), axis=0)
         yield from _dealt(pairs[:, 0] % buckets, buckets, 1, pairs[:, 0].astype("<i8"), pairs[:, 1].astype("<i8"))
@@ -321,7 +321,7 @@ _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 
 
 def _leaders(groups: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, first): each entity with its most shared leader (first) and up to four more; and the pairs of small groups."""
+    """(a, b, first): each entity with its most shared leader (first) and up to four more; and all pairs of small groups."""
 
     def f(held):
         if 0 in held:

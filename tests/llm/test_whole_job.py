@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import lm_scoring
+from tessera.llm import jaccard_join, lm_scoring
 from tessera.llm.common import held_out
 
 
@@ -23,3 +23,13 @@ def test_the_language_model_is_fitted_on_all_triples_at_any_size(spark):
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), ~held_out("doc_id", 7)).where(held_out("doc_id", 7)).agg(F.sum("score"), F.sum("base_score")).first()
     # words of one count share a class, so that the exact class probabilities themselves give 0.76 here
     assert got[0] > 0.78 * got[1]
+
+
+def test_a_similar_pair_of_small_groups_is_compared_however_many_leaders_come_first():
+    """Entity 100 shares ten groups with each of six others and one group of two with its only similar partner, 90."""
+    groups = [(10 * k + i, [10 + k, 100]) for k in range(6) for i in range(10)] + [(999, [90, 100]), (1000, [70, 71, 100])]
+    sig = np.repeat([g for g, _ in groups], [len(m) for _, m in groups]).astype("<u8")
+    entity = np.concatenate([m for _, m in groups]).astype("<i8")
+    rows = list(jaccard_join._grouped({0: [lm_scoring._press(sig, entity)]}, 1))
+    pairs = {tuple(p) for r in rows for kind, blob in zip(r["kind"], r["blob"], strict=True) if kind == 1 for p in zip(*(x.tolist() for x in lm_scoring._unpress(blob, "<i8", "<i8")), strict=True)}
+    assert pairs == {(a, 100) for a in (10, 11, 12, 13, 14, 15, 90, 70, 71)} | {(70, 71)}
