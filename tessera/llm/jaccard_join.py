@@ -52,7 +52,7 @@ HOT, HOT_IN_BLOCK = 65_536, 5
 SMALL = 8
 #: Stored input bytes for one bucket of signatures; text bytes of a block, which bounds a worker's memory.
 BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
-#: Bits of a signature that travel. Equal ones of different subsets only make more to compare.
+#: Bits of a signature that travel. Equal ones of different sets only make more to compare; for those of one set `needs` asks less.
 SIGNATURE_BITS = 40
 U64 = np.uint64
 _K = U64(0xA24BAED4963EE407)
@@ -165,6 +165,20 @@ def signatures(value: np.ndarray, first: np.ndarray, hot: np.ndarray, similarity
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
 
 
+def needs(sig: np.ndarray, of: np.ndarray, tag: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """need, less the subsets of one set and tag whose shortened signatures are equal: they collide as one."""
+    key = of.astype(np.int64) << 8 | tag
+    if len(np.unique(mix(sig ^ mix(key.astype(U64) + _K)))) == len(sig):
+        return need
+    order = np.lexsort((sig, key))
+    same = key[order][1:] == key[order][:-1]
+    twice = np.r_[False, same & (sig[order][1:] == sig[order][:-1])]
+    number = np.cumsum(np.r_[False, ~same])
+    less = np.empty(len(sig), np.int64)
+    less[order] = np.bincount(number, twice).astype(np.int64)[number]
+    return np.maximum(1, need.astype(np.int64) - less).astype(np.uint32)
+
+
 _BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -261,13 +275,14 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
             n = np.diff(first)[one]
             sig, of, tag, need = signatures(value[ranges(first[one], n)], np.r_[0, np.cumsum(n)], hot, similarity)
             sig >>= U64(64 - SIGNATURE_BITS)
+            need = needs(sig, of, tag, need)
             yield from _dealt((sig % U64(buckets)).astype(np.int64), buckets, 0, sig, own[one][of].astype("<i8"), tag, need)
 
     def collide(held):
         sig, entity, tag, need = _columns(held[0], "<u8", "<i8", "u1", "<u4")
-        order = np.lexsort((entity, sig))
+        order = np.lexsort((tag, entity, sig))
         sig, entity, tag, need = sig[order], entity[order], tag[order], need[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1])]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1]) | (tag[1:] != tag[:-1])]
         sig, entity, tag, need = sig[new], entity[new], tag[new], need[new]
         same = sig[1:] == sig[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
@@ -291,6 +306,8 @@ def _grouped(held: dict, buckets: int) -> Iterator[dict]:
     sig, entity = _columns(held[0], "<u8", "<i8")
     order = np.lexsort((entity, sig))
     sig, entity = sig[order], entity[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1])]  # an entity may have a signature in two tags
+    sig, entity = sig[new], entity[new]
     edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[edge, len(sig)])
     group = np.repeat(np.arange(len(edge)), size)
@@ -350,7 +367,6 @@ def _sets(rows: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def f(batch):
         for run in runs(batch.column(1)):
             value, first = shingle_sets(run)
-            value = np.sort(value & U64((1 << 40) - 1) | np.repeat(np.arange(run.n, dtype=np.int64), np.diff(first)).astype(U64) << U64(40)) & U64((1 << 40) - 1)
             yield {"entity": batch.column(0).slice(run.first, run.n), "set": [_press(value[a:b].astype("<u8")) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]}
 
     return map_arrow(texts, f, schema)

@@ -33,3 +33,17 @@ def test_a_similar_pair_of_small_groups_is_compared_however_many_leaders_come_fi
     rows = list(jaccard_join._grouped({0: [lm_scoring._press(sig, entity)]}, 1))
     pairs = {tuple(p) for r in rows for kind, blob in zip(r["kind"], r["blob"], strict=True) if kind == 1 for p in zip(*(x.tolist() for x in lm_scoring._unpress(blob, "<i8", "<i8")), strict=True)}
     assert pairs == {(a, 100) for a in (10, 11, 12, 13, 14, 15, 90, 70, 71)} | {(70, 71)}
+
+
+def test_subsets_that_collide_as_one_are_not_asked_for_twice():
+    sig, of, tag, need = np.array([5, 5, 7, 5, 9, 9], np.uint64), np.array([0, 0, 0, 0, 1, 2]), np.array([4, 4, 4, 5, 4, 4], np.uint8), np.array([3, 3, 3, 1, 2, 2], np.uint32)
+    assert jaccard_join.needs(sig, of, tag, need).tolist() == [2, 2, 2, 1, 2, 2]
+    assert jaccard_join.needs(sig[2:], of[2:], tag[2:], need[2:]).tolist() == need[2:].tolist()
+
+
+def test_verification_compares_whole_shingles(spark):
+    rows = spark.createDataFrame([(1, 1, "a b c d e f g h")], "k1 long, k2 long, text string")
+    docs = spark.createDataFrame([(9, 1, 1)], "entity long, k1 long, k2 long")
+    got = jaccard_join._sets(rows, docs, docs.select("entity")).first()["set"]
+    value = lm_scoring._unpress(bytes(got), "<u8")[0]
+    assert len(value) == 4 and (np.diff(value.astype(object)) > 0).all() and int(value.max()) >> 40
