@@ -1,16 +1,16 @@
 """Personal data: patterns, and terms that disclose what the patterns find.
 
 Patterns find identifiers (e-mail and IP addresses, card and phone numbers); each distinct value is a protected
-entity. A term discloses an entity as far as it determines it: over contexts of CONTEXT characters on either
-side of an identifier, pointwise mutual information between term and entity, divided by the entity's
-information content, is 1 if the term occurs nowhere else and falls as it occurs without the entity:
+entity. A term discloses an entity as far as it determines it: pointwise mutual information between term and
+entity over whole documents, divided by the entity's information content, is 1 if the term occurs in no document
+without the entity and falls as it does:
 
-    windows = corpus terms / mean terms of a context
-    PMI(t; e) = log2(n_te * windows / (n_t * n_e)),  IC(e) = log2(windows / n_e)
+    PMI(t; e) = log2(n_te * documents / (n_t * n_e)),  IC(e) = log2(documents / n_e)
 
-n_te and n_e count distinct contexts, so copies of a passage are one observation; n_t counts the term in
-the whole corpus. In an identifier's context, terms with at least SUPPORT such observations are generalised
-from a disclosure of GENERALISE on and removed from REMOVE on. Everything is built-in functions.
+n_e and n_te count distinct observations: a document's is what stands within CONTEXT characters of the entity's
+places in it, so copies of a passage are one however their documents differ elsewhere. n_t is n_te and the documents
+that have the term without the entity. Terms with at least SUPPORT observations are generalised from a disclosure
+of GENERALISE on and removed from REMOVE on, wherever they stand in any text. Everything is built-in functions.
 
 Spans are half-open code-point ranges. Null texts are empty. Rows with equal id and text get equal spans; ids
 may be null. An empty table gives an empty result. Other columns are not read, or pass through `sanitise`.
@@ -69,21 +69,17 @@ def rendered(spans: Column) -> Column:
 
 
 def _contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, at, side): both sides of every identifier, cut at whole words, and where each begins."""
+    """Array of (entity, context): a hash of what stands on both sides of every identifier, cut at whole words."""
 
     def both(s: Column) -> Column:
-        entity = F.concat_ws(":", s["kind"], F.lower(s["value"]))
         lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
         left = text.substr(lo + 1, s["start"] - lo)
-        cut_left = F.when(lo > 0, F.length(F.regexp_extract(left, r"\A[\p{L}\p{N}]*", 0))).otherwise(F.lit(0))
         right = text.substr(s["end"] + 1, F.lit(CONTEXT))
-        whole = F.when(F.length(right) < CONTEXT, right).otherwise(F.regexp_replace(right, r"[\p{L}\p{N}]*+\z", ""))
-        return F.array(
-            F.struct(entity.alias("entity"), (lo + cut_left).alias("at"), left.substr(cut_left + 1, F.lit(CONTEXT)).alias("side")),
-            F.struct(entity.alias("entity"), s["end"].alias("at"), whole.alias("side")),
-        )
+        left = F.when(lo > 0, F.regexp_replace(left, r"\A[\p{L}\p{N}]*+", "")).otherwise(left)
+        right = F.when(F.length(right) < CONTEXT, right).otherwise(F.regexp_replace(right, r"[\p{L}\p{N}]*+\z", ""))
+        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(F.lower(left), F.lower(right)).alias("context"))
 
-    return F.flatten(F.transform(spans, both))
+    return F.transform(spans, both)
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,29 +90,34 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return cut(with_struct(rows, ["doc_id", "k1", "k2"], value))
 
 
-def disclosing(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, start, end, action): context terms of each row that disclose an entity; seen is what `found` gave for docs."""
-    contexts = seen.select("k1", "k2", F.inline("contexts"))
-    contexts = contexts.withColumn("context", F.xxhash64(F.lower("side")))
-    terms = contexts.select("k1", "k2", "entity", "context", "at", F.explode(located(F.col("side"), TERM)).alias("t"))
-    terms = terms.select("k1", "k2", "entity", "context", F.xxhash64(F.lower("t.value")).alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    # only terms that are seen near an entity often enough can disclose it; their corpus counts are all that is needed
-    pairs = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+def disclosing(docs: DataFrame, seen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2, start, end, action): all places of terms that disclose an entity; seen is what `found` gave for docs."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = rows.select("text", *row_key("doc_id", "text"))
+    words = F.explode(F.array_distinct(F.transform(matches(F.col("text"), TERM), lambda w: F.xxhash64(F.lower(w))))).alias("term")
+    holders = seen.select("k1", "k2", F.inline("contexts")).groupBy("k1", "k2", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("seen"))
+    # an entity with fewer observations has no term with SUPPORT of them
+    entities = holders.groupBy("entity").agg(F.count_distinct("seen").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    holders = cut(holders.join(entities, "entity"))
+    owners = maybe_broadcast(holders.select("k1", "k2").distinct())
+    terms = rows.join(owners, ["k1", "k2"], "left_semi").select("k1", "k2", words)
+    pairs = terms.join(holders, ["k1", "k2"]).groupBy("entity", "term").agg(F.max("n_e").alias("n_e"), F.count_distinct("seen").alias("n_te"), F.count(F.lit(1)).alias("n_both"))
     pairs = cut(pairs.where(F.col("n_te") >= SUPPORT))
-    entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(matches(F.lower(text_or_empty(text)), TERM)).alias("w")).select(F.xxhash64("w").alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     candidates = maybe_broadcast(pairs.select("term").distinct())
-    counts = cut(counts.agg(F.sum("n_t").alias("n_t")).withColumn("term", F.lit(None).cast("long")).unionByName(counts.join(candidates, "term", "left_semi")))
-    total = counts.where(F.col("term").isNull()).first()["n_t"] or 0
-    around = terms.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k1", "k2", "entity", "context").alias("c")).first()
-    windows = max(2.0, total / max(1.0, around["n"] / max(1, around["c"])))
-    judged = pairs.join(counts.where(F.col("term").isNotNull()), "term").join(entities, "entity")
-    pmi = F.log2(F.col("n_te") * windows / (F.col("n_t") * F.col("n_e")))
-    content = F.greatest(F.log2(windows / F.col("n_e")), F.lit(1e-9))
-    judged = judged.select("entity", "term", (pmi / content).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    hit = terms.join(maybe_broadcast(judged), ["entity", "term"])
-    return hit.groupBy("k1", "k2", "start", "end").agg(F.when(F.max("disclosure") >= REMOVE, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
+    counts = rows.select(words).join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"))
+    documents = F.lit(float(max(2, docs.count())))
+    n_t = F.col("n_te") + F.col("n_rows") - F.col("n_both")
+    pmi = F.log2(F.col("n_te") * documents / (n_t * F.col("n_e")))
+    content = F.greatest(F.log2(documents / F.col("n_e")), F.lit(1e-9))
+    judged = pairs.join(counts, "term").groupBy("term").agg(F.max(pmi / content).alias("disclosure"))
+    judged = cut(judged.where(F.col("disclosure") >= GENERALISE).select("term", (F.col("disclosure") >= REMOVE).alias("remove")))
+    hit = rows.select("k1", "k2", words).join(maybe_broadcast(judged), "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("gone"))
+    hit = maybe_broadcast(cut(hit))
+    places = F.transform(located(F.col("text"), TERM), lambda x: F.struct(F.xxhash64(F.lower(x["value"])).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+    places = F.filter(places, lambda x: F.array_contains("terms", x["term"]))  # before they are rows: most terms are no hit
+    places = rows.join(hit, ["k1", "k2"]).select("k1", "k2", "gone", F.explode(places).alias("t"))
+    action = F.when(F.array_contains("gone", F.col("t.term")), F.lit("removed")).otherwise(F.lit("generalised"))
+    return places.select("k1", "k2", "t.start", "t.end", action.alias("action")).distinct()
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,7 +126,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     Disclosing terms that overlap an identifier are part of it and add nothing.
     """
     seen = found(docs, doc_id, text)
-    extra = disclosing(docs, seen, text)
+    extra = disclosing(docs, seen, doc_id, text)
     extra = extra.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.col("action").alias("kind"), F.lit(None).cast("string").alias("value"))).alias("extra"))
     out = seen.select("doc_id", "k1", "k2", F.col("spans").alias("base")).join(extra, ["k1", "k2"], "left")
     own = F.filter(F.coalesce("extra", F.expr(f"cast(array() as {_SPANS})")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, lm_scoring
+from tessera.llm import jaccard_join, lm_scoring, pii
 from tessera.llm.common import held_out
 
 
@@ -47,3 +47,21 @@ def test_verification_compares_whole_shingles(spark):
     got = jaccard_join._sets(rows, docs, docs.select("entity")).first()["set"]
     value = lm_scoring._unpress(bytes(got), "<u8")[0]
     assert len(value) == 4 and (np.diff(value.astype(object)) > 0).all() and int(value.max()) >> 40
+
+
+def test_disclosing_terms_are_found_and_masked_in_whole_texts(spark):
+    """The name is far from the address in each document, and stands in one document without it."""
+    filler = "the quick fox and lazy dogs went over some hills".split()
+    far = " ".join(filler * 4)
+    rows = [(i, f"Zorblax wrote {i}7{i} {far} {filler[i]} {i}5 reach zed@corp.example {i}9 {filler[i % 7]} with zorblax") for i in range(8)]
+    rows += [(50 + i, f"{far} wrote reach with") for i in range(200)] + [(999, f"{far} ZORBLAX was here, the quick fox")]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("zorblax" in t.lower() for t in got.values())
+    assert got[999] == f"{far}  was here, the quick fox" and got[50] == rows[8][1] and "wrote" in got[0] and "[email]" in got[0]
+
+
+def test_copies_of_a_passage_are_one_observation(spark):
+    rows = [(i, "Quinxy is once, and no more than once on this page, to be reached at quinxy@corp.example and away from the town of many kinds of men " + chr(97 + i) * 5) for i in range(6)]
+    rows += [(50 + i, "plain text of no one") for i in range(60)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("Quinxy" in r["text"] for r in got if r["doc_id"] < 6)
