@@ -26,6 +26,8 @@ from tessera.llm.common import id_field, map_arrow
 BUCKETS = 1 << 13
 #: Training documents: of a language, and in all (the bounds of the sample that the model is fitted on).
 DOCS_PER_LANGUAGE, DOCS_IN_ALL = 600, 3000
+#: Share of rightly predicted rows whose scores count as unsure.
+UNSURE = 0.002
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -198,6 +200,17 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     return LanguageModel(langs, x, y)
 
 
+def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> float:
+    """The score that all but a share UNSURE of labelled rows reach when their language is predicted rightly; 0 without any.
+
+    usable: rows that the model has not learned from; at most DOCS_IN_ALL of them, those of the least hashes.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(usable)
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.length(text)).alias("h"))
+    right = annotate(rows.orderBy("h").limit(DOCS_IN_ALL), model).where("__lang_pred = lang").select("__score").collect()
+    return float(np.quantile([r["__score"] for r in right], UNSURE)) if right else 0.0
+
+
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
     schema = T.StructType([id_field(docs, doc_id), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

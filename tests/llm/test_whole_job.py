@@ -1,7 +1,9 @@
 """The operators do the whole job: nothing is drawn, capped or left out."""
 
+import base64
 import random
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,3 +67,14 @@ def test_copies_of_a_passage_are_one_observation(spark):
     rows += [(50 + i, "plain text of no one") for i in range(60)]
     got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all("Quinxy" in r["text"] for r in got if r["doc_id"] < 6)
+
+
+def test_the_language_stage_rejects_junk_and_languages_that_were_not_learned(spark):
+    rng = random.Random(4)
+    sources = {"en": "the of and thing ation er", "de": "der die und ung keit sch", "fr": "le les des eau que oui", "es": "el los ado mente cion que"}
+    words = {lang: ["".join(rng.choice(s.split()) for _ in range(rng.randint(1, 3))) for _ in range(300)] for lang, s in sources.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(20, 80))), lang) for i in range(600) for lang in [rng.choice(sorted(words))]]
+    junk = [base64.b64encode(rng.randbytes(600)).decode() for _ in range(10)] + [rng.randbytes(300).hex() for _ in range(10)] + ["это предложение написано на языке которого нет в таблице и никто его не знает"]
+    df = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert not any(i >= 1000 for i in kept) and len(kept) >= 0.98 * len(rows)
