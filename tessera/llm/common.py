@@ -94,5 +94,12 @@ def held_out(column: str, modulus: int, remainder: int = 2) -> Column:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the frame's size, which for a file scan is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the frame's size, which for a file scan is the size of its files.
+
+    Where Spark knows no size (frames that are not of files get a default near 2**63), the strings are measured.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 56:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.agg(F.sum(sum(texts, F.lit(8)))).first()[0] or 0

@@ -18,10 +18,17 @@ many of them. If an entity has no more of them than that, it also takes part on
 if those are too few, on level 3, where each of all shingles is a subset, which always suffices. Two sets that are both short on
 one level meet on a later one.
 
-Links. Entities of a signature group are compared by their whole sets, but a pair only while its two ends are in
-different classes: first each entity with the leader it shares most groups with, then all pairs of small
-groups and some further leaders, at last, for larger groups that still hold several classes, all pairs between the classes. No
-similar pair is left out, and within a class of copies of any size about one comparison is made for each entity.
+First links. Each entity is compared, by whole sets, with the leader it shares most signature groups with; linked entities are
+a class. Most members of a group of copies of any size so meet in about one comparison each.
+
+Further links. Only groups that hold several classes still matter, and of these an entity needs as many as a
+similar partner implies, again; few entities are left. Their shingles are ordered from the rarest (among them) on, and each
+entity stands at the first of them that a similar partner cannot all lack, with the place of the shingle in the order, cut into
+groups by shingle and size band. A pair of a group is a candidate if sizes, what is left after the two places, and the
+distance between two small histograms of the sets all permit the similarity; none of these bounds drops a
+similar pair. In two rounds each entity is compared with its nearest candidate of another class and classes
+merge; then all candidates that still are in different classes are compared. Within a class no pair is made, dissimilar ones
+rarely pass the bounds, and no similar pair is left out.
 
 Texts with fewer words than a shingle are one shingle of all words. Texts without words, and null texts, are empty
 and are linked with nothing. Rows with null ids take part; a class's id is its least id that is not
@@ -48,8 +55,10 @@ from tessera.llm.substring_dedup import rolled
 SHINGLE, SIMILARITY = 5, (75, 100)
 #: Common shingles left out on level 0, at most; counted in blocks that have them in HOT_IN_BLOCK sets or more.
 HOT, HOT_IN_BLOCK = 65_536, 5
-#: Groups of up to SMALL entities give all their pairs at once.
-SMALL = 8
+#: Counters of an entity's histogram, and rounds of nearest candidates before all that are left.
+COUNTERS, ROUNDS = 256, 2
+#: Pairs whose histograms are compared at a time, and candidates held before each entity's nearest is kept.
+PAIRS_AT_ONCE, CANDIDATES = 65_536, 1_000_000
 #: Stored input bytes for one bucket of signatures; text bytes of a block, which bounds a worker's memory.
 BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
 #: Bits of a signature that travel. Equal ones of different sets only make more to compare; for those of one set `needs` asks less.
@@ -182,18 +191,18 @@ def needs(sig: np.ndarray, of: np.ndarray, tag: np.ndarray, need: np.ndarray) ->
 _BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
-def _dealt(bucket: np.ndarray, buckets: int, kind: int, *columns: np.ndarray) -> Iterator[dict]:
+def _dealt(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[dict]:
     """A row with a packed blob for each bucket that gets any of the columns' elements."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = [c[order] for c in columns]
-    rows: dict[str, list] = {"bucket": [], "kind": [], "blob": []}
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        rows["bucket"].append(b)
-        rows["kind"].append(kind)
-        rows["blob"].append(_press(*[c[edges[b] : edges[b + 1]] for c in columns]))
-    if rows["bucket"]:
-        yield rows
+    sorted_buckets, columns = bucket[order], [c[order] for c in columns]
+    edges = np.r_[np.flatnonzero(np.r_[True, sorted_buckets[1:] != sorted_buckets[:-1]]), len(order)]
+    yield {
+        "bucket": sorted_buckets[edges[:-1]],
+        "kind": np.full(len(edges) - 1, kind),
+        "blob": [_press(*[c[lo:hi] for c in columns]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
+    }
 
 
 def _by_bucket(df: DataFrame, partitions: int, f: Callable[[dict[int, list[bytes]]], Iterator[dict]], schema: T.StructType = _BLOB) -> DataFrame:
@@ -276,7 +285,7 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
             sig, of, tag, need = signatures(value[ranges(first[one], n)], np.r_[0, np.cumsum(n)], hot, similarity)
             sig >>= U64(64 - SIGNATURE_BITS)
             need = needs(sig, of, tag, need)
-            yield from _dealt((sig % U64(buckets)).astype(np.int64), buckets, 0, sig, own[one][of].astype("<i8"), tag, need)
+            yield from _dealt((sig % U64(buckets)).astype(np.int64), 0, sig, own[one][of].astype("<i8"), tag, need)
 
     def collide(held):
         sig, entity, tag, need = _columns(held[0], "<u8", "<i8", "u1", "<u4")
@@ -286,7 +295,7 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
         sig, entity, tag, need = sig[new], entity[new], tag[new], need[new]
         same = sig[1:] == sig[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
-        yield from _dealt(entity[keep] % buckets, buckets, 0, sig[keep], entity[keep], tag[keep], need[keep])
+        yield from _dealt(entity[keep] % buckets, 0, sig[keep], entity[keep], tag[keep], need[keep])
 
     def enough(held):
         sig, entity, tag, need = _columns(held[0], "<u8", "<i8", "u1", "<u4")
@@ -295,67 +304,50 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
         edge = np.flatnonzero(np.r_[True, (entity[1:] != entity[:-1]) | (tag[1:] != tag[:-1])])
         size = np.diff(np.r_[edge, len(entity)])
         keep = np.repeat(size >= need[edge], size)
-        yield from _dealt((sig[keep] % U64(buckets)).astype(np.int64), buckets, 0, sig[keep], entity[keep])
+        yield from _dealt((sig[keep] % U64(buckets)).astype(np.int64), 0, sig[keep], entity[keep], tag[keep], need[keep])
 
     signed = map_arrow(rows.select("text"), sign, _BLOB)
     return _by_bucket(_by_bucket(_by_bucket(signed, partitions, collide), partitions, enough), partitions, lambda held: _grouped(held, buckets))
 
 
 def _grouped(held: dict, buckets: int) -> Iterator[dict]:
-    """kind 0: (entity, leader, groups), by entity; kind 1: pairs of small groups; kind 2: (entity, group) of larger ones, by entity; kind 3: the same by group."""
-    sig, entity = _columns(held[0], "<u8", "<i8")
-    order = np.lexsort((entity, sig))
-    sig, entity = sig[order], entity[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1])]  # an entity may have a signature in two tags
-    sig, entity = sig[new], entity[new]
+    """By entity. kind 0: (entity, leader, groups); kind 1: (group, entity, tag, need, times), where groups with the same members are one."""
+    sig, entity, tag, need = _columns(held[0], "<u8", "<i8", "u1", "<u4")
+    order = np.lexsort((tag, entity, sig))
+    sig, entity, tag, need = sig[order], entity[order], tag[order], need[order]
     edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[edge, len(sig)])
-    group = np.repeat(np.arange(len(edge)), size)
-    leader = entity[edge][group]
+    leader = np.repeat(entity[edge], size)
     follows = entity != leader
-    pair, times = np.unique(np.stack([entity[follows], leader[follows]], 1), axis=0, return_counts=True) if follows.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    yield from _dealt(pair[:, 0] % buckets, buckets, 0, pair[:, 0].astype("<i8"), pair[:, 1].astype("<i8"), times.astype("<u4"))
-    small = []
-    for m in range(2, SMALL + 1):  # with the leader's pairs, of which kind 0 only chooses the first to compare
-        at = edge[size == m]
-        small += [np.stack([entity[at + i], entity[at + j]], 1) for i in range(m) for j in range(i + 1, m)]
-    if small:
-        pairs = np.unique(np.concatenate(small), axis=0)
-        yield from _dealt(pairs[:, 0] % buckets, buckets, 1, pairs[:, 0].astype("<i8"), pairs[:, 1].astype("<i8"))
-    # larger groups: groups with the same members are one
-    big = np.flatnonzero(size > SMALL)
-    if len(big):
-        own = mix(np.add.reduceat(mix(entity.astype(U64)), edge))
-        _, one = np.unique(own[big], return_index=True)
-        big = big[one]
-        members = entity[ranges(edge[big], size[big])]
-        number = np.repeat((own[big] >> U64(1)).astype(np.int64), size[big])
-        yield from _dealt(members % buckets, buckets, 2, members.astype("<i8"), number.astype("<i8"))
-        yield from _dealt(number % buckets, buckets, 3, members.astype("<i8"), number.astype("<i8"))
-
-
-_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("first", T.BooleanType())])
+    if follows.any():
+        pair, times = np.unique(np.stack([entity[follows], leader[follows]], 1), axis=0, return_counts=True)
+        yield from _dealt(pair[:, 0] % buckets, 0, pair[:, 0].astype("<i8"), pair[:, 1].astype("<i8"), times.astype("<u4"))
+    own = mix(np.add.reduceat(mix(mix(entity.astype(U64)) + tag * _K), edge) + size.astype(U64))
+    _, one, times = np.unique(own, return_index=True, return_counts=True)
+    keep = size[one] > 1
+    one, times = one[keep], times[keep]
+    at = ranges(edge[one], size[one])
+    number = np.repeat((own[one] >> U64(1)).astype(np.int64), size[one])
+    yield from _dealt(entity[at] % buckets, 1, number, entity[at], tag[at], need[at], np.repeat(times, size[one]).astype("<u4"))
+
+
+_PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _leaders(groups: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, first): each entity with its most shared leader (first) and up to four more; and all pairs of small groups."""
+    """(a, b): each entity b with the leader a that it shares most groups with."""
 
     def f(held):
-        if 0 in held:
-            b, a, times = _columns(held[0], "<i8", "<i8", "<u4")
-            pair, back = np.unique(np.stack([b, a], 1), axis=0, return_inverse=True)
-            total = np.bincount(back.reshape(-1), times, len(pair))
-            order = np.lexsort((pair[:, 1], -total, pair[:, 0]))
-            pair = pair[order]
-            edge = np.flatnonzero(np.r_[True, pair[1:, 0] != pair[:-1, 0]])
-            rank = np.arange(len(pair)) - np.repeat(edge, np.diff(np.r_[edge, len(pair)]))
-            keep = rank < 5
-            yield {"a": pair[keep, 1], "b": pair[keep, 0], "first": rank[keep] == 0}
-        if 1 in held:
-            pairs = np.unique(np.stack(_columns(held[1], "<i8", "<i8"), 1), axis=0)
-            yield {"a": pairs[:, 0], "b": pairs[:, 1], "first": np.zeros(len(pairs), bool)}
+        if 0 not in held:
+            return
+        b, a, times = _columns(held[0], "<i8", "<i8", "<u4")
+        pair, back = np.unique(np.stack([b, a], 1), axis=0, return_inverse=True)
+        total = np.bincount(back.reshape(-1), times, len(pair))
+        pair = pair[np.lexsort((pair[:, 1], -total, pair[:, 0]))]
+        most = np.flatnonzero(np.r_[True, pair[1:, 0] != pair[:-1, 0]])
+        yield {"a": pair[most, 1], "b": pair[most, 0]}
 
-    return _by_bucket(groups.where("kind in (0, 1)"), partitions, f, _PAIRS)
+    return _by_bucket(groups.where("kind = 0"), partitions, f, _PAIRS)
 
 
 def _sets(rows: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -394,52 +386,196 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return map_arrow(both.select("a", "b", "set_a", "set_b"), f, schema)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different classes so far."""
-    for side in ("a", "b"):
-        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-        pairs = pairs.join(named, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    return pairs.where("label_a <> label_b")
+def _labelled(labels: DataFrame, buckets: int) -> DataFrame:
+    """Blobs of kind 2 (entity, label), by entity."""
+    return map_arrow(labels, lambda batch: _dealt(batch.column(0).to_numpy() % buckets, 2, batch.column(0).to_numpy(), batch.column(1).to_numpy()), _BLOB)
+
 
+def _named(held: dict, entity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each entity by a bucket's blobs of kind 2, and whether it has one."""
+    if 2 not in held:
+        return entity, np.zeros(len(entity), bool)
+    node, label = _columns(held[2], "<i8", "<i8")
+    order = np.argsort(node)
+    node, label = node[order], label[order]
+    at = np.minimum(np.searchsorted(node, entity), len(node) - 1)
+    return np.where(node[at] == entity, label[at], entity), node[at] == entity
 
-def _mixed(groups: DataFrame, labels: DataFrame, buckets: int, partitions: int) -> DataFrame:
-    """(a, b): pairs between classes in larger groups that hold several; label numbers come to entities by bucket."""
-    packed = map_arrow(
-        labels.select("node", "label"),
-        lambda batch: _dealt(batch.column(0).to_numpy() % buckets, buckets, 4, batch.column(0).to_numpy(), batch.column(1).to_numpy()),
-        _BLOB,
-    )
+
+def unsettled(groups: DataFrame, labels: DataFrame, buckets: int, partitions: int) -> DataFrame:
+    """(entity, label) of entities with enough collisions in groups of several classes for a similar partner in another class."""
 
     def named(held):
-        if 2 not in held:
-            return
-        entity, group = _columns(held[2], "<i8", "<i8")
-        label = entity.copy()
-        if 4 in held:
-            node, to = _columns(held[4], "<i8", "<i8")
-            order = np.argsort(node)
-            node, to = node[order], to[order]
-            at = np.minimum(np.searchsorted(node, entity), len(node) - 1)
-            label = np.where(node[at] == entity, to[at], entity)
-        keep = np.unique(np.stack([group, label, entity], 1), axis=0)
-        yield from _dealt(keep[:, 0] % buckets, buckets, 5, keep[:, 0], keep[:, 1], keep[:, 2])
-
-    def cross(held):
-        group, label, entity = _columns(held[5], "<i8", "<i8", "<i8")
-        order = np.lexsort((entity, label, group))
-        group, label, entity = group[order], label[order], entity[order]
-        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        for lo, hi in zip(edge.tolist(), np.r_[edge[1:], len(group)].tolist(), strict=True):
-            if label[lo] == label[hi - 1]:
-                continue
-            own, cuts = entity[lo:hi], np.flatnonzero(np.r_[True, label[lo + 1 : hi] != label[lo : hi - 1]])
-            for c in cuts[1:].tolist():
-                end = int(cuts[cuts > c][0]) if (cuts > c).any() else hi - lo
-                for x in own[c:end].tolist():
-                    yield {"a": np.minimum(own[:c], x), "b": np.maximum(own[:c], x)}
+        if 1 in held:
+            number, entity, tag, need, times = _columns(held[1], "<i8", "<i8", "u1", "<u4", "<u4")
+            yield from _dealt(number % buckets, 1, number, entity, tag, need, times, _named(held, entity)[0])
+
+    def mixed(held):
+        number, entity, tag, need, times, label = _columns(held[1], "<i8", "<i8", "u1", "<u4", "<u4", "<i8")
+        order = np.lexsort((label, number))
+        edge = np.flatnonzero(np.r_[True, number[order][1:] != number[order][:-1]])
+        size = np.diff(np.r_[edge, len(order)])
+        several = label[order][edge] != label[order][edge + size - 1]
+        at = order[np.repeat(several, size)]
+        yield from _dealt(entity[at] % buckets, 1, entity[at], tag[at], need[at], times[at], label[at])
+
+    def enough(held):
+        entity, tag, need, times, label = _columns(held[1], "<i8", "u1", "<u4", "<u4", "<i8")
+        order = np.lexsort((tag, entity))
+        entity, tag, need, times, label = (x[order] for x in (entity, tag, need, times, label))
+        edge = np.flatnonzero(np.r_[True, (entity[1:] != entity[:-1]) | (tag[1:] != tag[:-1])])
+        edge = edge[np.add.reduceat(times.astype(np.int64), edge) >= need[edge]]
+        _, one = np.unique(entity[edge], return_index=True)
+        yield {"entity": entity[edge][one], "label": label[edge][one]}
+
+    both = groups.where("kind = 1").unionByName(_labelled(labels, buckets))
+    schema = T.StructType([T.StructField("entity", T.LongType()), T.StructField("label", T.LongType())])
+    return _by_bucket(_by_bucket(_by_bucket(both, partitions, named), partitions, mixed), partitions, enough, schema)
+
+
+def size_band(n: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Numbers of bands so wide that a set's smaller partners are in its own and the one below."""
+    s, t = similarity
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] * t // s + 1)
+    return np.searchsorted(np.array(edges, np.int64), n, "right")
 
-    by_group = _by_bucket(groups.where("kind = 2").unionByName(packed), partitions, named)
-    return _by_bucket(by_group, partitions, cross, T.StructType(_PAIRS.fields[:2])).distinct()
+
+def prefixes(sets: DataFrame, buckets: int, partitions: int, similarity: tuple[int, int]) -> DataFrame:
+    """By entity. kind 0: (entity, n, COUNTERS bytes each); kind 1: (entity, n, shingle, place) of its rarest shingles.
+
+    A similar set has at least one of them; the place is that in the order from the rarest shingle on. Shingles
+    that no other set has take places but are not kept.
+    """
+    s, t = similarity
+
+    def split(batch):
+        values = [_unpress(raw, "<u8")[0] for raw in batch.column(1).to_pylist()]
+        entity, n = batch.column(0).to_numpy(), np.array([len(v) for v in values])
+        value, owner = np.concatenate(values), np.repeat(np.arange(len(n)), n)
+        counters = np.bincount(owner * COUNTERS + (mix(value) % U64(COUNTERS)).astype(np.int64), minlength=len(n) * COUNTERS)
+        counters = np.minimum(counters, 255).astype("u1").reshape(len(n), COUNTERS)
+        yield from _dealt(entity % buckets, 0, entity, n.astype("<u4"), np.ascontiguousarray(counters).view(f"V{COUNTERS}").reshape(-1))
+        yield from _dealt((value % U64(buckets)).astype(np.int64), 1, value, entity[owner], n[owner].astype("<u4"))
+
+    def counted(held):
+        for blob in held.get(0, []):
+            entity = _unpress(blob, "<i8")[0]
+            yield {"bucket": entity[:1] % buckets, "kind": [0], "blob": [blob]}
+        if 1 in held:
+            value, entity, n = _columns(held[1], "<u8", "<i8", "<u4")
+            _, back, times = np.unique(value, return_inverse=True, return_counts=True)
+            keep = times[back] > 1
+            yield from _dealt(entity[keep] % buckets, 1, value[keep], entity[keep], n[keep], times[back][keep].astype("<u4"))
+
+    def cut_off(held):
+        for blob in held.get(0, []):
+            entity = _unpress(blob, "<i8")[0]
+            yield {"bucket": entity[:1] % buckets, "kind": [0], "blob": [blob]}
+        if 1 in held:
+            value, entity, n, times = _columns(held[1], "<u8", "<i8", "<u4", "<u4")
+            order = np.lexsort((value, times, entity))
+            value, entity, n = value[order], entity[order], n[order].astype(np.int64)
+            edge = np.flatnonzero(np.r_[True, entity[1:] != entity[:-1]])
+            size = np.diff(np.r_[edge, len(entity)])
+            place = np.arange(len(entity)) - np.repeat(edge, size) + n - np.repeat(size, size)
+            keep = place <= n - -(-n * s // t)
+            yield from _dealt(entity[keep] % buckets, 1, entity[keep], n[keep].astype("<u4"), value[keep], place[keep].astype("<u4"))
+
+    return _by_bucket(_by_bucket(map_arrow(sets, split, _BLOB), partitions, counted), partitions, cut_off)
+
+
+def _close(size: np.ndarray, counters: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs' histograms permit the similarity, and the histograms' distance over the sizes' sum."""
+    s, t = similarity
+    both = size[a] + size[b]
+    apart = np.abs(counters[a].astype(np.int16) - counters[b]).sum(1, dtype=np.int64)
+    return apart <= both - 2 * -(-both * s // (s + t)), apart / both
+
+
+def candidates(prefix: DataFrame, alive: DataFrame, buckets: int, partitions: int, similarity: tuple[int, int], nearest: bool) -> DataFrame:
+    """(a, b): pairs of alive entities in different classes that may be similar; nearest: one for each entity that has any."""
+    s, t = similarity
+
+    def deal(held):
+        if not {0, 1, 2} <= held.keys():
+            return
+        entity, n, value, place = _columns(held[1], "<i8", "<u4", "<u8", "<u4")
+        keep = _named(held, entity)[1]
+        entity, n, value, place = entity[keep], n[keep].astype(np.int64), value[keep], place[keep]
+        band = size_band(n, similarity)
+        guest = place <= n - -(-2 * n * s // (s + t))  # may be the smaller one of a pair; also goes to the band above
+        entity, n, value, place, band = (np.concatenate([x, x[guest]]) for x in (entity, n, value, place, band))
+        guest = np.r_[np.zeros(len(guest), bool), np.ones(int(guest.sum()), bool)]
+        group = mix(value + (band + guest).astype(U64) * _K)
+        bucket = (group % U64(buckets)).astype(np.int64)
+        yield from _dealt(bucket, 1, group, entity, n.astype("<u4"), place.astype("<u4"), guest.astype("u1"))
+        own, counters = _columns(held[0], "<i8", "<u4", f"V{COUNTERS}")[::2]
+        there = np.unique(np.stack([bucket, entity], 1), axis=0)
+        order = np.argsort(own)
+        at = order[np.searchsorted(own[order], there[:, 1])]
+        yield from _dealt(there[:, 0], 0, there[:, 1], _named(held, there[:, 1])[0], counters[at])
+
+    def meet(held):
+        group, entity, n, place, guest = _columns(held[1], "<u8", "<i8", "<u4", "<u4", "u1")
+        order = np.lexsort((entity, n, group))
+        group, entity, n, guest, rest = group[order], entity[order], n[order].astype(np.int64), guest[order] > 0, (n.astype(np.int64) - place)[order]
+        own, label, counters = _columns(held[0], "<i8", "<i8", f"V{COUNTERS}")
+        own, one = np.unique(own, return_index=True)
+        label, counters = label[one], counters[one].view("u1").reshape(-1, COUNTERS)
+        who = np.searchsorted(own, entity)
+        size = np.zeros(len(own), np.int64)
+        size[who] = n
+        held_pairs, count = [], 0
+        low, step = np.arange(len(group) - 1), 0
+        while len(low):  # members of a group `step` further on, which are not smaller
+            step += 1
+            low = low[low + step < len(group)]
+            high = low + step
+            low = low[(group[low] == group[high]) & (n[low] * t >= n[high] * s)]
+            for k in range(0, len(low), PAIRS_AT_ONCE):
+                a = low[k : k + PAIRS_AT_ONCE]
+                b = a + step
+                fits = ~guest[b] & (label[who[a]] != label[who[b]]) & (np.minimum(rest[a], rest[b]) * (s + t) >= (n[a] + n[b]) * s)
+                a, b = who[a[fits]], who[b[fits]]
+                close, apart = _close(size, counters, a, b, similarity)
+                held_pairs.append((a[close], b[close], apart[close]))
+                count += int(close.sum())
+                if count > CANDIDATES:
+                    held_pairs = [kept(held_pairs)]
+                    count = len(held_pairs[0][0])
+                    if not nearest:
+                        yield made(own, held_pairs[0])
+                        held_pairs, count = [], 0
+        if held_pairs:
+            yield made(own, kept(held_pairs))
+
+    def kept(pairs: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Each pair once; for nearest only that of the least distance of each entity (of ties, that of the least numbers)."""
+        a, b, apart = (np.concatenate([p[i] for p in pairs]) for i in range(3))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        _, one = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+        a, b, apart = a[one], b[one], apart[one]
+        if nearest and len(a):
+            of, at = np.r_[a, b], np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((at, apart[at], of))
+            first = np.r_[True, of[order][1:] != of[order][:-1]]
+            one = np.unique(at[order][first])
+            a, b, apart = a[one], b[one], apart[one]
+        return a, b, apart
+
+    def made(own: np.ndarray, pairs: tuple[np.ndarray, ...]) -> dict:
+        return {"a": own[pairs[0]], "b": own[pairs[1]], "apart": pairs[2]}
+
+    both = prefix.unionByName(_labelled(alive, buckets))
+    schema = T.StructType([*_PAIRS.fields, T.StructField("apart", T.DoubleType())])
+    found = _by_bucket(_by_bucket(both, partitions, deal), partitions, meet, schema)
+    if not nearest:
+        return found.select("a", "b").distinct()
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    best = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -448,21 +584,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, min(100_000, -(-stored_bytes(docs) // BUCKET_BYTES)))
+    buckets = max(partitions, -(-stored_bytes(docs) // BUCKET_BYTES))
     made = entities(rows)
     common = made.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "hot").limit(HOT).select("hot").collect()
     hot = np.sort(np.array([r["hot"] for r in common], np.int64).astype(U64))
     own = made.where("hot is null")
     groups = cut(collisions(rows, hot, buckets, partitions, similarity))
-    pairs = cut(_leaders(groups, partitions).groupBy("a", "b").agg(F.max("first").alias("first")))
-    wanted = pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct()
+    pairs = cut(_leaders(groups, partitions))
+    wanted = cut(pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct())
     sets = cut(_sets(rows, own, wanted))
-    links = cut(verified(pairs.where("first").select("a", "b"), sets, similarity))
-    labels = cut(components(links))
-    links = links.unionByName(cut(verified(_apart(pairs.where("not first"), labels).select("a", "b"), sets, similarity)))
-    labels = cut(components(links))
-    links = links.unionByName(cut(verified(_mixed(groups, labels, buckets, partitions), sets, similarity)))
+    if sets.count() > wanted.count():  # rows with equal id and text
+        sets = cut(sets.dropDuplicates(["entity"]))
+    links = cut(verified(pairs, sets, similarity))
     labels = cut(components(links))
+    alive = cut(unsettled(groups, labels, buckets, partitions))
+    prefix = cut(prefixes(sets.join(maybe_broadcast(alive.select("entity")), "entity", "left_semi"), buckets, partitions, similarity))
+    for k in range(ROUNDS + 1):
+        pairs = cut(candidates(prefix, alive, buckets, partitions, similarity, k < ROUNDS))
+        if not pairs.count():
+            break
+        links = links.unionByName(cut(verified(pairs, sets, similarity)))
+        labels = cut(components(links))
+        alive = pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct()
+        alive = alive.join(labels.withColumnRenamed("node", "entity"), "entity", "left").select("entity", F.coalesce("label", "entity").alias("label"))
     named = own.join(maybe_broadcast(labels.withColumnRenamed("node", "entity")), "entity", "left")
     named = named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
     least = named.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("least"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, lm_scoring, pii
 from tessera.llm.common import held_out
+from models import classes
 
 
 def test_the_language_model_is_fitted_on_all_triples_at_any_size(spark):
@@ -27,14 +28,50 @@ def test_the_language_model_is_fitted_on_all_triples_at_any_size(spark):
     assert got[0] > 0.78 * got[1]
 
 
-def test_a_similar_pair_of_small_groups_is_compared_however_many_leaders_come_first():
-    """Entity 100 shares ten groups with each of six others and one group of two with its only similar partner, 90."""
-    groups = [(10 * k + i, [10 + k, 100]) for k in range(6) for i in range(10)] + [(999, [90, 100]), (1000, [70, 71, 100])]
-    sig = np.repeat([g for g, _ in groups], [len(m) for _, m in groups]).astype("<u8")
-    entity = np.concatenate([m for _, m in groups]).astype("<i8")
-    rows = list(jaccard_join._grouped({0: [lm_scoring._press(sig, entity)]}, 1))
-    pairs = {tuple(p) for r in rows for kind, blob in zip(r["kind"], r["blob"], strict=True) if kind == 1 for p in zip(*(x.tolist() for x in lm_scoring._unpress(blob, "<i8", "<i8")), strict=True)}
-    assert pairs == {(a, 100) for a in (10, 11, 12, 13, 14, 15, 90, 70, 71)} | {(70, 71)}
+def test_a_similar_pair_is_found_however_many_leaders_come_first(spark):
+    """A text around a shared passage meets many others in more groups than its only similar partner."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    passage = [word() for _ in range(80)]
+    texts = [passage + [word() for _ in range(26 + k)] for k in range(30)]
+    partner = [*passage, *texts[7][80:100], word()]  # differs from text 7 in its end only
+    rows = [(k, " ".join(t)) for k, t in enumerate([*texts, partner])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and got[30][1] == got[7][1] == 7
+
+
+def test_pairs_stay_in_proportion_to_rows_around_a_common_passage(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    passage, made = [word() for _ in range(60)], []
+    rows = [(k, " ".join([*passage, *[word() for _ in range(18 + k % 7)]])) for k in range(400)]
+    edited = [word() for _ in range(200)]
+    for k in range(150):  # near copies of one text, of which many are less similar to each other
+        own = list(edited)
+        for at in rng.sample(range(200), 4):
+            own[at] = word()
+        rows.append((1000 + k, " ".join(own)))
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+    assert sum(made) <= 4 * len(rows)  # of 90,000 in the groups
+
+
+def test_bounds_of_candidates_drop_no_similar_pair():
+    rng, s, t = np.random.default_rng(3), 75, 100
+    for n in (1, 2, 3, 4, 7, 40, 400):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        for gone in range(n // 4 + 1):
+            b = np.r_[a[gone:], rng.integers(0, 1 << 62, n // 7 - gone if gone <= n // 7 else 0).astype(np.uint64)]
+            common = n - gone
+            if t * common < s * (len(b) + gone):
+                continue
+            size = np.array([len(a), len(b)])
+            counters = np.stack([np.bincount((jaccard_join.mix(x) % np.uint64(128)).astype(int), minlength=128) for x in (a, b)]).astype("u1")
+            assert jaccard_join._close(size, counters, np.array([0]), np.array([1]), (s, t))[0][0]
+            low, high = sorted(jaccard_join.size_band(size, (s, t)))
+            assert high - low <= 1
 
 
 def test_subsets_that_collide_as_one_are_not_asked_for_twice():
