@@ -120,14 +120,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_numeric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = engine(spark, sf_dir)
     docs = own.external("documents")
-    own.database.external["documents"] = docs.select("doc_id", docs.n_chars.cast("string").alias("n_chars"))
+    own.warehouse.external["documents"] = docs.select("doc_id", docs.n_chars.cast("string").alias("n_chars"))
     return own.sql("SELECT doc_id FROM documents WHERE n_chars > '500'")
 
 
 def order_by_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = engine(spark, sf_dir)
     customers = own.external("customer")
-    own.database.external["customer"] = customers.select("c_custkey", customers.c_custkey.cast("string").alias("c_text"))
+    own.warehouse.external["customer"] = customers.select("c_custkey", customers.c_custkey.cast("string").alias("c_text"))
     return own.sql("SELECT c_custkey, c_text FROM customer ORDER BY c_text DESC")
 
 
@@ -143,7 +143,7 @@ def dml_create_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txn_repeatable_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = engine(spark, sf_dir, "customer")
-    writer = reader.database.session()
+    writer = reader.warehouse.session()
     reader.execute("BEGIN TRANSACTION ISOLATION LEVEL REPEATABLE READ")
     writer.execute("DELETE FROM customer WHERE c_nationkey = 3")
     return reader.sql("SELECT COUNT(*) AS cnt FROM customer")
