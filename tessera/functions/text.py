@@ -28,6 +28,11 @@ def as_number(c: Column) -> Column:
     return F.when(looks_numeric(c), c.try_cast("double"))
 
 
+def parsed_number(c: Column) -> Column:
+    """The number that aggregates take a text for: signs, exponents and blanks before it are allowed; else null."""
+    return F.when(c.rlike(r"(?i)\A\s*[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)\z"), F.trim(c).try_cast("double"))
+
+
 def compare(op: str, c: Column, text: str) -> Column:
     """A text column with a literal: as numbers if both are numbers, else by bytes.
 
@@ -47,6 +52,16 @@ def compare_columns(op: str, a: Column, b: Column) -> Column:
     return F.when(looks_numeric(a) & looks_numeric(b), f(a.try_cast("double"), b.try_cast("double"))).otherwise(f(a, b))
 
 
+def compare_mixed(op: str, a: Column, b: Column, text_first: bool) -> Column:
+    """A text column with one of numbers: as numbers if the text is one, else by bytes with the number as it is shown."""
+    f = OPERATORS[op]
+    text, number = (a, b) if text_first else (b, a)
+    if not text_first:
+        f = OPERATORS[{"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)]
+    plain = F.regexp_replace(F.format_string("%.6f", number.cast("double")), r"\.?0+\z", "")
+    return F.when(looks_numeric(text), f(text.try_cast("double"), number.cast("double"))).otherwise(f(text, plain))
+
+
 def sort_keys(c: Column, descending: bool) -> list[Column]:
     """A total order of texts: numbers by value before other texts by bytes."""
     numbers_first = F.coalesce(looks_numeric(c), F.lit(False))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import BindProblem
 from tessera.functions.aggregates import aggregate
-from tessera.functions.text import OPERATORS, compare, compare_columns, sort_keys
+from tessera.functions.text import OPERATORS, as_number, compare, compare_columns, compare_mixed, is_number, sort_keys
 from tessera.plans import nodes as N
 
 
@@ -45,10 +45,12 @@ class Scope:
         return F.col(f"`{self.find(name)[0]}`")
 
 
-def typed(literal: N.Literal, kind: T.DataType) -> Column:
-    """A literal as a value of a column's type."""
+def typed(literal: N.Literal, kind: T.DataType | None) -> Column:
+    """A literal as a value of a column's type; None: of a computed number."""
     if literal.text is None:
-        return F.lit(None).cast(kind)
+        return F.lit(None) if kind is None else F.lit(None).cast(kind)
+    if kind is None:
+        return F.lit(float(literal.text)) if is_number(literal.text) else F.lit(literal.text)
     if isinstance(kind, T.StringType):
         return F.lit(literal.text)
     try:
@@ -94,8 +96,8 @@ def predicate(node, scope: Scope, value: Callable | None = None) -> Column:
                 texts = [isinstance(k, T.StringType) for k in (left_kind, right_kind)]
                 if all(texts):
                     return compare_columns(op, left, right)
-                if any(texts):  # a text with a number: the text's number
-                    left, right = (c.try_cast("double") if is_text else c for c, is_text in zip((left, right), texts, strict=True))
+                if any(texts):  # a text with a number: as numbers if the text is one, else as texts
+                    return compare_mixed(op, left, right, texts[0])
                 return OPERATORS[op](left, right)
         raise BindProblem(f"{x} is no condition")
 
@@ -105,18 +107,31 @@ def predicate(node, scope: Scope, value: Callable | None = None) -> Column:
 def _operand(x, scope: Scope) -> tuple[Column, T.DataType]:
     if isinstance(x, N.Name):
         return scope.column(x), scope.find(x)[1]
+    if isinstance(x, N.Arithmetic | N.Case | N.Literal) or isinstance(x, N.Call) and x.function == "ROUND":
+        return _value(x, lambda y: _operand(y, scope), scope)
     if isinstance(x, N.Call):
         raise BindProblem(f"{x.function} is not allowed here")
     raise BindProblem(f"{x} is no value")
 
 
 def _has_aggregate(x) -> bool:
-    return isinstance(x, N.Call) and (x.function != "ROUND" or _has_aggregate(x.argument))
+    match x:
+        case N.Call():
+            return x.function != "ROUND" or _has_aggregate(x.argument)
+        case N.Arithmetic():
+            return _has_aggregate(x.left) or _has_aggregate(x.right)
+        case N.Case():
+            return any(_has_aggregate(v) for _, v in x.branches) or _has_aggregate(x.otherwise)
+    return False
 
 
 def _label(x) -> str:
     if isinstance(x, N.Call):
         return f"{x.function}({'DISTINCT ' * x.distinct}{'*' if x.argument is None else _label(x.argument)})"
+    if isinstance(x, N.Arithmetic):
+        return f"{_label(x.left)} {x.op} {_label(x.right)}"
+    if isinstance(x, N.Case):
+        return "CASE"
     return x.column if isinstance(x, N.Name) else str(getattr(x, "text", x))
 
 
@@ -130,14 +145,37 @@ def select(query: N.Select, table: Callable[[str], DataFrame]) -> DataFrame:
         elif source.cross:
             df = df.crossJoin(own)
         else:
-            df = df.join(own, predicate(source.on, scope), "inner")
+            df = df.join(own, predicate(source.on, scope), source.kind)
     if query.where is not None:
         df = df.where(predicate(query.where, scope))
     grouped = bool(query.group) or query.having is not None or any(_has_aggregate(i.value) for i in query.items)
     return _grouped(query, df, scope) if grouped else _plain(query, df, scope)
 
 
-def _keys(query: N.Select, find: Callable[[N.Name], tuple[Column, T.DataType]]) -> list[Column]:
+def combined(query: N.Combined, one: Callable[[N.Select], DataFrame]) -> DataFrame:
+    """UNION, INTERSECT and EXCEPT by place, named as the first query is; without ALL rows are distinct."""
+    out = one(query.first)
+    for kind, every, right in query.rest:
+        other = one(right)
+        if len(other.columns) != len(out.columns):
+            raise BindProblem(f"{kind} of {len(out.columns)} and {len(other.columns)} columns")
+        if kind == "UNION":
+            out = out.union(other) if every else out.union(other).distinct()
+        elif kind == "INTERSECT":
+            out = out.intersectAll(other) if every else out.intersect(other)
+        else:
+            out = out.exceptAll(other) if every else out.subtract(other)
+
+    def find(name: N.Name) -> tuple[Column, T.DataType]:
+        if name.table is not None or name.column not in out.columns:
+            raise BindProblem(f"column {name} is unknown")
+        return F.col(f"`{name.column}`"), out.schema[name.column].dataType
+
+    keys = _keys(query, find)
+    return _finished(query, out.orderBy(*keys) if keys else out)
+
+
+def _keys(query: N.Select | N.Combined, find: Callable[[N.Name], tuple[Column, T.DataType]]) -> list[Column]:
     keys: list[Column] = []
     for name, descending in query.order:
         column, kind = find(name)
@@ -145,7 +183,8 @@ def _keys(query: N.Select, find: Callable[[N.Name], tuple[Column, T.DataType]])
     return keys
 
 
-def _finished(query: N.Select, df: DataFrame) -> DataFrame:
+def _finished(query: N.Select | N.Combined, df: DataFrame) -> DataFrame:
+    df = df.offset(query.offset) if query.offset else df
     return df if query.limit is None else df.limit(query.limit)
 
 
@@ -156,7 +195,7 @@ def _plain(query: N.Select, df: DataFrame, scope: Scope) -> DataFrame:
         if item.value is None:
             out += [F.col(f"`{inner}`").alias(column) for (_, column), (inner, _) in scope.columns.items()]
             continue
-        column, kind = _value(item.value, lambda x: _operand(x, scope))
+        column, kind = _value(item.value, lambda x: _operand(x, scope), scope)
         label = item.alias or _label(item.value)
         named[label] = (column, kind)
         out.append(column.alias(label))
@@ -174,12 +213,29 @@ def _plain(query: N.Select, df: DataFrame, scope: Scope) -> DataFrame:
     return _finished(query, df.orderBy(*keys) if keys else df).select(*out)
 
 
-def _value(x, operand: Callable) -> tuple[Column, T.DataType]:
+def _number(column: Column, kind: T.DataType | None) -> Column:
+    return as_number(column) if isinstance(kind, T.StringType) else column
+
+
+def _value(x, operand: Callable, scope: Scope) -> tuple[Column, T.DataType | None]:
+    if isinstance(x, N.Arithmetic):  # texts take part as the numbers that they are, else as NULL; division is that of doubles
+        (left, a), (right, b) = _value(x.left, operand, scope), _value(x.right, operand, scope)
+        left, right = _number(left, a), _number(right, b)
+        if x.op == "/":
+            return F.try_divide(left.cast("double"), right.cast("double")), T.DoubleType()
+        return {"+": left + right, "-": left - right, "*": left * right}[x.op], T.DoubleType()
+    if isinstance(x, N.Case):
+        out, kind = None, None
+        for condition, value in x.branches:
+            column, kind = _value(value, operand, scope)
+            condition = predicate(condition, scope, operand)
+            out = F.when(condition, column) if out is None else out.when(condition, column)
+        return out if x.otherwise is None else out.otherwise(_value(x.otherwise, operand, scope)[0]), kind
     if isinstance(x, N.Literal):
         return (F.lit(x.text), T.StringType()) if x.quoted or x.text is None else (F.lit(float(x.text) if "." in x.text else int(x.text)), T.DoubleType())
     if isinstance(x, N.Call) and x.function == "ROUND":
-        column, kind = _value(x.argument, operand)
-        return F.round(column, x.digits), kind
+        column, kind = _value(x.argument, operand, scope)
+        return F.round(_number(column, kind), x.digits), T.DoubleType()
     return operand(x)
 
 
@@ -201,7 +257,7 @@ def _grouped(query: N.Select, df: DataFrame, scope: Scope) -> DataFrame:
     for item in query.items:
         if item.value is None:
             raise BindProblem("* is neither grouped nor aggregated")
-        column, kind = _value(item.value, operand)
+        column, kind = _value(item.value, operand, scope)
         label = item.alias or _label(item.value)
         named[label] = (column, kind)
         out.append(column.alias(label))
@@ -209,7 +265,7 @@ def _grouped(query: N.Select, df: DataFrame, scope: Scope) -> DataFrame:
     def find(name: N.Name) -> tuple[Column, T.DataType | None]:
         return named[name.column] if name.table is None and name.column in named else operand(name)
 
-    having = None if query.having is None else predicate(query.having, scope, lambda x: find(x) if isinstance(x, N.Name) else operand(x))
+    having = None if query.having is None else predicate(query.having, scope, lambda x: find(x) if isinstance(x, N.Name) else _value(x, operand, scope))
     order = _keys(query, find)
     aggregates = []
     for call, name in made.items():

@@ -58,6 +58,19 @@ class Call:
     digits: int = 0
 
 
+@dataclass(frozen=True)
+class Arithmetic:
+    op: str  # + - * /
+    left: object
+    right: object
+
+
+@dataclass(frozen=True)
+class Case:
+    branches: tuple[tuple[object, object], ...]  # condition, value
+    otherwise: object | None = None
+
+
 @dataclass(frozen=True)
 class Item:
     value: object | None  # None: *
@@ -70,6 +83,7 @@ class Source:
     alias: str
     on: object | None = None  # condition of the join with what stands before it
     cross: bool = True
+    kind: str = "inner"  # of a join with a condition: inner, left, right or full
 
 
 @dataclass(frozen=True)
@@ -82,12 +96,25 @@ class Select:
     order: list[tuple[Name, bool]] = field(default_factory=list)  # name, descending
     limit: int | None = None
     distinct: bool = False
+    offset: int = 0
+
+
+@dataclass(frozen=True)
+class Combined:
+    """Queries of equal width, from the left: the first one, then (UNION | INTERSECT | EXCEPT, whether ALL, query)."""
+
+    first: Select
+    rest: tuple[tuple[str, bool, Select], ...]
+    order: list[tuple[Name, bool]] = field(default_factory=list)
+    limit: int | None = None
+    offset: int = 0
 
 
 @dataclass(frozen=True)
 class Create:
     table: str
     columns: list[tuple[str, str]]  # name, type
+    query: object | None = None  # CREATE TABLE ... AS
 
 
 @dataclass(frozen=True)
@@ -100,6 +127,7 @@ class Insert:
     table: str
     rows: list[list[Literal]]
     columns: list[str] | None = None
+    query: object | None = None  # INSERT ... SELECT
 
 
 @dataclass(frozen=True)

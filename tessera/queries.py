@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import io
+import threading
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 from tessera.operators import relational
 from tessera.operators.mvcc import Snapshot, visible_rows
 from tessera.operators.replay import previous_lsn, redo
+from tessera.errors import EngineError, LockConflict
 from tessera.session import Engine
+from tessera.transactions.locks import LockManager
+from tessera.transactions.manager import Isolation, TransactionManager
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -54,6 +59,25 @@ SELECTS = {
     "group_by_multi": "SELECT l_returnflag, l_linestatus, COUNT(*) AS cnt, ROUND(SUM(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "group_by_filtered": "SELECT o_orderpriority, ROUND(AVG(o_totalprice), 4) AS a FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority",
     "group_by_without_aggregate": "SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    "filter_not": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 100000)",
+    "filter_in": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
+    "filter_not_in": "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, 2, 3)",
+    "filter_between": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12",
+    "filter_like": "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE 'Brand#1%' AND p_brand NOT LIKE '%2'",
+    "filter_is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
+    "left_join": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000",
+    "right_join": "SELECT c_custkey, n_name FROM customer RIGHT OUTER JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 5000",
+    "full_join": "SELECT a.n_nationkey AS l, b.r_regionkey AS r FROM nation a FULL JOIN region b ON a.n_nationkey = b.r_regionkey",
+    "distinct_rows": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
+    "select_arithmetic": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) + l_quantity / 4, 3) AS v FROM lineitem WHERE l_quantity * 2 > 90 - l_linenumber",
+    "case_expression": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'other' END AS kind FROM orders",
+    "having": "SELECT o_custkey, COUNT(*) AS cnt FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND MAX(o_totalprice) > 100000",
+    "agg_count_distinct": "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS cnt FROM orders GROUP BY o_orderstatus",
+    "limit_offset": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20 OFFSET 5",
+    "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier ORDER BY k",
+    "intersect_rows": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
+    "except_rows": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
     "order_by_asc": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey",
     "order_by_desc": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
 }
@@ -61,9 +85,32 @@ SELECTS = {
 _EVENTS = "SELECT event_id AS lsn, user_id AS k, value AS v, event_id % 11 AS txn, CASE WHEN event_id % 5 = 4 THEN 'DELETE' WHEN event_id % 5 = 3 THEN 'UPDATE' ELSE 'INSERT' END AS op FROM events"
 _VERSIONS = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN 100 ELSE o_orderkey % 9 END AS xmin, CASE WHEN o_custkey % 10 = 9 THEN 100 WHEN o_custkey % 10 = 8 THEN 0 ELSE o_custkey % 8 END AS xmax FROM orders"
 
+#: Orders' customers as texts of which some are no plain numbers.
+_TEXTS = "SELECT o_orderkey, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS VARCHAR) || 'e1' WHEN 1 THEN ' ' || CAST(o_custkey AS VARCHAR) WHEN 2 THEN 'c' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey + 1 AS VARCHAR) || '.50' END AS t FROM orders"
+_PLAIN = "regexp_full_match(t, '-?[0-9]*[.]?[0-9]*') AND regexp_matches(t, '[0-9]')"
+_SHOWN = "rtrim(rtrim(printf('%.6f', {0}), '0'), '.')"
+
 #: Oracles of the other queries.
 OTHERS = {
     "text_numeric_filter": "SELECT doc_id FROM documents WHERE n_chars > 500",
+    "text_column_vs_number_column": f"SELECT o_orderkey, t FROM ({_TEXTS}) x WHERE CASE WHEN {_PLAIN} THEN CAST(t AS DOUBLE) > o_custkey ELSE t > CAST(o_custkey AS VARCHAR) END",
+    "text_column_equals_number_column": f"SELECT o_orderkey, t FROM ({_TEXTS}) x WHERE CASE WHEN {_PLAIN} THEN CAST(t AS DOUBLE) = o_custkey + 1 ELSE t = CAST(o_custkey + 1 AS VARCHAR) END",
+    "agg_text": f"SELECT o_custkey, COUNT(t) AS cnt, ROUND(SUM(v), 3) AS s, ROUND(AVG(v), 3) AS a, MIN(v) AS mn, MAX(v) AS mx FROM (SELECT *, CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE CAST(trim(t) AS DOUBLE) END AS v FROM ({_TEXTS}) x) y GROUP BY o_custkey",
+    "console_rows": "SELECT '[' || n_nationkey || ', ' || n_name || ', ' || n_regionkey || ']' AS line FROM nation UNION ALL SELECT '[OK] ' || COUNT(*) || ' row(s) returned.' FROM nation",
+    "number_formatting": f"SELECT '[' || l_linenumber || ', ' || {_SHOWN.format('s')} || ', ' || {_SHOWN.format('a')} || ', ' || {_SHOWN.format('m')} || ']' AS line FROM (SELECT l_linenumber, SUM(l_quantity) AS s, AVG(l_quantity) AS a, MIN(l_extendedprice) AS m FROM lineitem GROUP BY l_linenumber) x UNION ALL SELECT '[OK] ' || COUNT(DISTINCT l_linenumber) || ' row(s) returned.' FROM lineitem",
+    "unknown_names": "SELECT * FROM (VALUES ('SELECT nothing FROM nation', 'column nothing is unknown'), ('SELECT n_name FROM nation, nation n', 'column n_name is ambiguous'), ('SELECT * FROM nowhere', 'table nowhere is unknown'), ('SELECT nation.r_name FROM nation, region', 'column nation.r_name is unknown')) t(statement, error)",
+    "catalog_reopened": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 77, 'ELSEWHERE'",
+    "insert_multi_row": "SELECT * FROM (VALUES (1, 'a', 2.5), (2, NULL, NULL), (3, 'c', NULL)) t(id, name, price)",
+    "insert_select": "SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_nationkey = 3 UNION ALL SELECT n_nationkey, n_name FROM nation",
+    "create_table_as": "SELECT c_nationkey, COUNT(*) AS cnt FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 1",
+    "lock_modes": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, true), (6, false), (7, true), (8, true), (9, true), (10, false)) t(step, granted)",
+    "lock_deadlock": "SELECT * FROM (VALUES (1, 'committed'), (2, 'committed'), (3, 'aborted')) t(txn, state)",
+    "lock_timeout": "SELECT * FROM (VALUES ('held', false), ('freed', true)) t(step, granted)",
+    "txn_serializable": "SELECT * FROM (VALUES ('reader', 'READ COMMITTED', true), ('writer', 'SERIALIZABLE', false)) t(who, isolation, granted)",
+    "mvcc_snapshot_view": f"SELECT 'RC' AS isolation, o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1, 2) AND xmax IN (0, 3, 4) UNION ALL SELECT 'RR', o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1) AND xmax IN (0, 4) OR xmin = 4",
+    "log_records": "SELECT * FROM (VALUES ('CREATE', 0, false), ('INSERT', 2, true), ('UPDATE', 1, true), ('DELETE', 1, true), ('COMMIT', NULL, true)) t(op, n_rows, chained)",
+    "log_truncated": "SELECT * FROM (VALUES ('after the second', 2), ('all', 0)) t(what, n)",
+    "recover_keeps_live": "SELECT COUNT(*) AS cnt FROM customer",
     "order_by_text_numbers": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS c_text FROM customer ORDER BY c_custkey DESC",
     "operator_range_scan": "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 200",
     "operator_group": "SELECT o_orderstatus, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_orderstatus",
@@ -85,9 +132,9 @@ OTHERS = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one, or a temporary one where there is none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared}/warehouse-{uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-")
+    """A new folder below the cluster's shared one; without one, in Spark's own warehouse folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/warehouse-{uuid4().hex}"
 
 
 def engine(spark: SparkSession, sf_dir: str, *load: str) -> Engine:
@@ -131,6 +178,176 @@ def order_by_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.sql("SELECT c_custkey, c_text FROM customer ORDER BY c_text DESC")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> Engine:
+    own = engine(spark, sf_dir)
+    o, key = own.external("orders"), F.col("o_orderkey") % 5
+    cust = F.col("o_custkey").cast("string")
+    t = F.when(key == 0, F.concat(cust, F.lit("e1"))).when(key == 1, F.concat(F.lit(" "), cust)).when(key == 2, F.concat(F.lit("c"), cust)).otherwise(F.concat((F.col("o_custkey") + 1).cast("string"), F.lit(".50")))
+    own.warehouse.external["texts"] = o.select("o_orderkey", "o_custkey", (F.col("o_custkey") + 1).alias("after"), t.alias("t"))
+    return own
+
+
+def text_column_vs_number_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).sql("SELECT o_orderkey, t FROM texts WHERE o_custkey < t")
+
+
+def text_column_equals_number_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).sql("SELECT o_orderkey, t FROM texts WHERE t = after")
+
+
+def agg_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).sql("SELECT o_custkey, COUNT(t) AS cnt, ROUND(SUM(t), 3) AS s, ROUND(AVG(t), 3) AS a, MIN(t) AS mn, MAX(t) AS mx FROM texts GROUP BY o_custkey")
+
+
+def _printed(own: Engine, text: str) -> DataFrame:
+    """The lines that a statement prints."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        own.run(text)
+    return own.spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+
+
+def console_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(engine(spark, sf_dir), "SELECT * FROM nation")
+
+
+def number_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(engine(spark, sf_dir), "SELECT l_linenumber, SUM(l_quantity), AVG(l_quantity), MIN(l_extendedprice) FROM lineitem GROUP BY l_linenumber")
+
+
+def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, rows = engine(spark, sf_dir), []
+    for statement in ("SELECT nothing FROM nation", "SELECT n_name FROM nation, nation n", "SELECT * FROM nowhere", "SELECT nation.r_name FROM nation, region"):
+        try:
+            own.sql(statement)
+        except EngineError as e:
+            rows.append((statement, str(e)))
+    return spark.createDataFrame(rows, "statement string, error string")
+
+
+def catalog_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir, "region")
+    own.execute("INSERT INTO region VALUES (77, 'ELSEWHERE')")
+    own.execute("DELETE FROM region WHERE r_regionkey = 2")
+    return Engine(spark, own.store.files.root).sql("SELECT r_regionkey, r_name FROM region")
+
+
+def insert_multi_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir)
+    own.execute("CREATE TABLE t (id INT, name, price DOUBLE)")
+    own.execute("INSERT INTO t VALUES (1, 'a', 2.5), (2, NULL, NULL)")
+    own.execute("INSERT INTO t (name, id) VALUES ('c', 3)")
+    return own.sql("SELECT * FROM t")
+
+
+def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir)
+    own.execute("CREATE TABLE t (id BIGINT, name)")
+    own.execute("INSERT INTO t SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3")
+    own.execute("INSERT INTO t (name, id) SELECT n_name, n_nationkey FROM nation")
+    return own.sql("SELECT id, name FROM t")
+
+
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir)
+    own.execute("CREATE TABLE t AS SELECT c_nationkey, COUNT(*) AS cnt FROM customer GROUP BY c_nationkey")
+    return own.sql("SELECT * FROM t WHERE cnt > 1")
+
+
+def lock_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared locks go together, an exclusive one with none of another; the only holder upgrades; unlocking frees."""
+    m = LockManager()
+    steps = [m.lock_shared(1, "a"), m.lock_shared(2, "a"), m.lock_exclusive(1, "a"), m.unlock(2, "a"), m.lock_exclusive(1, "a")]
+    steps += [m.lock_shared(2, "a"), m.lock_shared(1, "a"), m.unlock_all(1), m.lock_exclusive(2, "a"), m.lock_shared(3, "a")]
+    return spark.createDataFrame(list(enumerate(steps, 1)), "step int, granted boolean")
+
+
+def lock_deadlock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three transactions wait in a circle: the youngest is the victim, the others go on."""
+    manager = TransactionManager()
+    a, b, c = (manager.begin() for _ in range(3))
+    for txn, key in ((a, "x"), (b, "y"), (c, "z")):
+        manager.locks.lock_exclusive(txn.id, key)
+    for txn, key in ((a, "y"), (b, "z"), (c, "x"), (b, "z")):
+        manager.locks.lock_exclusive(txn.id, key)
+    for txn in (b, a):
+        manager.commit(txn)
+    return spark.createDataFrame([(t.id, t.state.value) for t in (a, b, c)], "txn int, state string")
+
+
+def lock_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = LockManager(timeout=0.2)
+    m.lock_exclusive(1, "a")
+    rows = [("held", m.lock_shared(2, "a"))]
+    m.timeout = 10
+    threading.Timer(0.1, m.unlock_all, (1,)).start()
+    return spark.createDataFrame([*rows, ("freed", m.lock_shared(2, "a"))], "step string, granted boolean")
+
+
+def txn_serializable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader shares a table with a reader; under SERIALIZABLE it holds the table alone."""
+    first, rows = engine(spark, sf_dir, "region"), []
+    second = first.warehouse.session()
+    for who, isolation in (("reader", "READ COMMITTED"), ("writer", "SERIALIZABLE")):
+        first.execute(f"BEGIN TRANSACTION ISOLATION LEVEL {isolation}")
+        first.sql("SELECT * FROM region")
+        try:
+            second.sql("SELECT * FROM region")
+            rows.append((who, isolation, True))
+        except LockConflict:
+            rows.append((who, isolation, False))
+        first.execute("COMMIT")
+    return spark.createDataFrame(rows, "who string, isolation string, granted boolean")
+
+
+def mvcc_snapshot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction 1 has committed when 4 begins; 2 commits and 3 aborts afterwards, which only READ COMMITTED sees."""
+    versions = _versions(spark, sf_dir)
+    manager = TransactionManager()
+    one, two, three = (manager.begin() for _ in range(3))
+    manager.commit(one)
+    reader = manager.begin(Isolation.REPEATABLE_READ)
+    manager.commit(two)
+    manager.abort(three)
+    later = manager.begin()
+    rr = visible_rows(versions, reader.id, manager.view(reader)).select(F.lit("RR").alias("isolation"), "o_orderkey")
+    rc = visible_rows(versions.where("xmax <> 5 AND xmin <> 5"), later.id, manager.view(later))
+    with_four = versions.where("xmax = 4 AND xmin IN (0, 1, 2)")  # 4 is still open: to others its deletions hide rows
+    return rr.unionByName(rc.unionByName(with_four).select(F.lit("RC").alias("isolation"), "o_orderkey"))
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> Engine:
+    own = engine(spark, sf_dir)
+    for s in ("BEGIN", "CREATE TABLE t (a, b)", "INSERT INTO t VALUES ('1', 'x'), ('2', 'y')", "UPDATE t SET b = 'z' WHERE a = '2'", "DELETE FROM t WHERE a = '1'", "COMMIT"):
+        own.execute(s)
+    return own
+
+
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _logged(spark, sf_dir).warehouse.log.frame()
+    known = log.select(F.col("lsn").alias("prev_lsn"), F.lit(True).alias("known"))
+    return log.join(known, "prev_lsn", "left").select("op", F.when(F.col("op") == "CREATE", 0).otherwise(F.col("n_rows")).alias("n_rows"), F.coalesce("known", F.lit(False)).alias("chained"))
+
+
+def log_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, rows = _logged(spark, sf_dir).warehouse.log, []
+    lsns = [r["lsn"] for r in log.frame().orderBy("lsn").collect()]
+    log.truncate(after=lsns[1])
+    rows.append(("after the second", log.frame().count()))
+    log.truncate()
+    return spark.createDataFrame([*rows, ("all", log.frame().count())], "what string, n long")
+
+
+def recover_keeps_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning up between a transaction's change and its commit takes nothing from it."""
+    own = engine(spark, sf_dir, "customer")
+    own.execute("BEGIN")
+    own.execute("UPDATE customer SET c_mktsegment = 'LIVE'")
+    own.warehouse.session().recover(retention=0)
+    own.execute("COMMIT")
+    return own.sql("SELECT COUNT(*) AS cnt FROM customer WHERE c_mktsegment = 'LIVE'")
+
+
 def dml_create_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = engine(spark, sf_dir)
     own.execute("CREATE TABLE products (pid, pname, price)")
@@ -149,12 +366,16 @@ def txn_repeatable_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.sql("SELECT COUNT(*) AS cnt FROM customer")
 
 
-def mvcc_visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     xmin = F.when(key % 9 == 8, 100).otherwise(key % 9).alias("xmin")
     xmax = F.when(cust % 10 == 9, 100).when(cust % 10 == 8, 0).otherwise(cust % 8).alias("xmax")
-    return visible_rows(o.select(key, xmin, xmax), 100, Snapshot(frozenset({1, 2, 3}), frozenset({5, 6})))
+    return o.select(key, xmin, xmax)
+
+
+def mvcc_visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visible_rows(_versions(spark, sf_dir), 100, Snapshot(frozenset({1, 2, 3}), frozenset({5, 6})))
 
 
 def wal_redo_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +411,7 @@ def operator_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).sql(text)) for name, text in SELECTS.items()},
+    **{f.__name__: f for f in (text_column_vs_number_column, text_column_equals_number_column, agg_text, console_rows, number_formatting, unknown_names, catalog_reopened, insert_multi_row, insert_select, create_table_as, lock_modes, lock_deadlock, lock_timeout, txn_serializable, mvcc_snapshot_view, log_records, log_truncated, recover_keeps_live)},
     **{f.__name__: f for f in (text_numeric_filter, order_by_text_numbers, operator_range_scan, operator_group, dml_create_insert, txn_repeatable_read, mvcc_visible_rows, wal_redo_committed, wal_undo_aborted, wal_outcomes, wal_prev_lsn_chain)},
     "dml_insert": _changed("region", ["INSERT INTO region VALUES (99, 'ATLANTIS')"], "SELECT * FROM region"),
     "dml_update_where": _changed("customer", ["UPDATE customer SET c_mktsegment = 'UPDATED' WHERE c_nationkey = 3"], "SELECT c_custkey, c_mktsegment FROM customer"),
