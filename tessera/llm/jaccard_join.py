@@ -584,7 +584,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, -(-stored_bytes(docs) // BUCKET_BYTES))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-stored_bytes(docs) // BUCKET_BYTES))
     made = entities(rows)
     common = made.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "hot").limit(HOT).select("hot").collect()
     hot = np.sort(np.array([r["hot"] for r in common], np.int64).astype(U64))

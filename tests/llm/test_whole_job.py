@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, lm_scoring, pii
 from tessera.llm.common import held_out
+from tessera.llm.components import components
 from models import classes
 
 
@@ -115,3 +116,12 @@ def test_the_language_stage_rejects_junk_and_languages_that_were_not_learned(spa
     df = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()}
     assert not any(i >= 1000 for i in kept) and len(kept) >= 0.98 * len(rows)
+
+
+def test_components_agree_in_one_task_and_in_steps(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    steps = {tuple(r) for r in components(frame, one_task=0).collect()}
+    assert steps == {tuple(r) for r in components(frame).collect()} and (460, 400) in steps and (559, 500) in steps
+    assert components(frame.limit(0)).count() == components(frame.limit(0), one_task=-1).count() == 0
