@@ -9,6 +9,8 @@ whole through the unchanged tokenizer. Added tokens in a text keep the library's
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,13 +34,31 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+#: How a file cuts texts whose pieces can be cut here. Texts go whole through any other file's tokenizer.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _known(form: dict) -> bool:
+    """Whether a tokenizer file cuts texts into the pieces that this module knows."""
+    added = all(t["content"].startswith("<|") for t in form.get("added_tokens") or [])
+    return added and (form.get("normalizer"), form.get("pre_tokenizer"), form["model"].get("end_of_word_suffix")) == (NORMALIZER, PRE_TOKENIZER, "</w>")
+
+
 class PieceEncoder:
-    """Ids of texts under a lower-casing word BPE file of the tokenizers library."""
+    """Ids of texts under a file of the tokenizers library: by pieces for lower-casing word BPE, else of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.by_pieces = _known(json.loads(self.whole.to_str()))
         self.piece = Tokenizer.from_file(path)
         self.piece.normalizer = normalizers.Lowercase()
         self.piece.pre_tokenizer = pre_tokenizers.Sequence(
@@ -114,6 +134,10 @@ class PieceEncoder:
         """All ids of the run's documents one after another (uint32), and where each document's begin (n + 1)."""
         if not len(run.data):
             return np.zeros(0, np.uint32), np.zeros(run.n + 1, np.int64)
+        if not self.by_pieces:
+            blob = run.data.tobytes()
+            ids = [np.array(self.whole.encode(blob[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for a, b in zip(run.offsets[:-1].tolist(), run.offsets[1:].tolist(), strict=True)]
+            return np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
         s, e, odd, first = self._pieces(run)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(run.n + 1, np.int64)

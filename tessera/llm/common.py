@@ -22,6 +22,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     elif named and not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -34,6 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_field(df: DataFrame, name: str, to: str = "doc_id") -> T.StructField:
     """The id column's field under the name that an operator's output has."""
     return T.StructField(to, df.schema[name].dataType, True)

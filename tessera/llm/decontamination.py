@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, row_key
+from tessera.llm.common import cut, fresh, row_key
 from tessera.llm.native import covered, hashed_lower, let, maybe_broadcast, split_words, text_or_empty, window_hashes, window_minima, with_struct
 
 #: What stands between words, with A-Z in them still.
@@ -81,14 +81,14 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     places = seen.where(F.size("places") > 0).select("k1", "k2", "places")
     # extension, in the documents with a hit: the windows that hold its gram
     around = lambda w: F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - (window - gram), F.lit(0)), F.least(p, F.size(w) - window)))))
-    near = rows.join(maybe_broadcast(places, 50_000), ["k1", "k2"])
+    near = rows.join(maybe_broadcast(places), ["k1", "k2"])
     near = near.select("k1", "k2", F.explode(let(hashes, lambda w: windows_at(w, around(w), window))).alias("x")).select("k1", "k2", "x.start", "x.h", F.lit(window).alias("width"))
     for k in lengths:
         near = near.unionByName(rows.select("k1", "k2", F.explode(let(hashes, lambda w: whole_windows(w, k))).alias("x")).select("k1", "k2", "x.start", "x.h", F.lit(k).alias("width")))
     hits = near.join(known, ["h", "width"])
     spans = F.collect_set(F.struct("start", (F.col("start") + F.col("width")).alias("end")))
     hits = hits.groupBy("k1", "k2").agg(F.sort_array(spans).alias("spans"), F.collect_set("set").alias("sets"))
-    named = hits.select("k1", "k2", F.explode("sets").alias("set")).join(maybe_broadcast(by_set, 20_000), "set")
+    named = hits.select("k1", "k2", F.explode("sets").alias("set")).join(maybe_broadcast(by_set), "set")
     named = named.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     out = seen.join(hits.select("k1", "k2", "spans").join(named, ["k1", "k2"]), ["k1", "k2"], "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # rows with equal id and text
@@ -102,7 +102,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all their columns, without those that a benchmark window occurs in."""
-    found = contaminated_words(docs, benchmark, doc_id, text).where(F.col("n_hit") > 0).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    a, b = fresh(docs, "k1", "k2")
+    found = contaminated_words(docs, benchmark, doc_id, text).where(F.col("n_hit") > 0).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = row_key(F.col(doc_id), text_or_empty(text))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(found, ["__k1", "__k2"], "left_anti").select(*[keyed[c] for c in docs.columns])
+    return docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

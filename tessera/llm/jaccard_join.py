@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import ASCII_LOWER, Run, mix, ranges, runs, span_hashes
-from tessera.llm.common import cut, id_field, map_arrow, releasing, row_key, stored_bytes
+from tessera.llm.common import cut, fresh, id_field, map_arrow, releasing, row_key, stored_bytes
 from tessera.llm.components import components
 from tessera.llm.lm_scoring import _press, _unpress
 from tessera.llm.native import maybe_broadcast
@@ -619,11 +619,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows, all their columns, with one of each class: that of the least id. Rows without words all stay; of rows with equal id and text one stays."""
     found = near_duplicates(docs, doc_id, text, similarity)
-    stay = found.where("keeps").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg((F.count(F.lit(1)) > 1).alias("__many"), (F.max("n_shingles") > 0).alias("__words"))
+    a, b, many, words = fresh(docs, "k1", "k2", "many", "words")
+    stay = found.where("keeps").groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg((F.count(F.lit(1)) > 1).alias(many), (F.max("n_shingles") > 0).alias(words))
     k1, k2 = row_key(F.col(doc_id), F.col(text).cast("string"))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2}).join(maybe_broadcast(stay), ["__k1", "__k2"])
-    once = ~(F.col("__many") & F.col("__words"))
+    keyed = docs.withColumns({a: k1, b: k2}).join(maybe_broadcast(stay), [a, b])
+    once = ~(F.col(many) & F.col(words))
     out = keyed.where(once)
     if stay.where(~once).limit(1).count():  # rows with equal id and text
-        out = out.unionByName(keyed.where(~once).dropDuplicates(["__k1", "__k2"]))
+        out = out.unionByName(keyed.where(~once).dropDuplicates([a, b]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

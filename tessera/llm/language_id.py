@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,21 +166,32 @@ def _no_letter(run: Run) -> np.ndarray:
     return out
 
 
+def _below(rows: DataFrame, upto: dict[str, int]) -> DataFrame:
+    """Rows whose hash is at most that of their language."""
+    chosen = F.lit(False)
+    for name, at in sorted(upto.items()):
+        chosen = chosen | ((F.col("lang") == name) & (F.col("h") <= at))
+    return rows.where(chosen)
+
+
 def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from at most per_language documents of each language and DOCS_IN_ALL in all, those of the least hashes.
+    """Learns from at most per_language documents of each language and DOCS_IN_ALL in all, those of the least hashes of id and text.
 
-    usable: which rows may be learned from. Feature counts, not texts, go to the driver.
+    usable: which rows may be learned from. Rows with equal id, text and language count once. Of more than DOCS_IN_ALL languages
+    the most frequent are learned. Feature counts, not texts, go to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(7), F.col(doc_id).cast("string"), F.length(text)).alias("h"))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(DOCS_IN_ALL).collect())
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(7), F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h"))
+    counts_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(DOCS_IN_ALL).collect()}
+    langs = sorted(counts_of)
     most = max(1, min(per_language, DOCS_IN_ALL // max(1, len(langs))))
-    own = Window.partitionBy("lang").orderBy("h")
-    cuts = {r["lang"]: r["cut"] for r in rows.select("lang", "h").withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= most).groupBy("lang").agg(F.max("h").alias("cut")).collect()}
-    chosen = F.lit(False)
-    for name, at in cuts.items():
-        chosen = chosen | ((F.col("lang") == name) & (F.col("h") <= at))
+    # about 4 times as many hashes of each language as are needed come to the driver, which cuts them off
+    few = _below(rows, {name: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // n) for name, n in counts_of.items()}).select("lang", "h").distinct()
+    least: dict[str, list[int]] = {}
+    for r in few.collect():
+        least.setdefault(r["lang"], []).append(r["h"])
+    rows = _below(rows, {name: sorted(h)[:most][-1] for name, h in least.items()}).dropDuplicates(["lang", "h"])
 
     def counts(batch):
         at, n = [], []
@@ -190,7 +201,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
         yield {"lang": batch.column(0), "at": at, "n": n}
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
-    sample = map_arrow(rows.where(chosen).select("lang", "text").limit(DOCS_IN_ALL), counts, schema).collect()
+    sample = map_arrow(rows.select("lang", "text"), counts, schema).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x, y = np.zeros((len(sample), BUCKETS), np.float32), np.zeros(len(sample), np.int64)
     for i, r in enumerate(sample):
@@ -207,8 +218,8 @@ def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(usable)
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.length(text)).alias("h"))
-    right = annotate(rows.orderBy("h").limit(DOCS_IN_ALL), model).where("__lang_pred = lang").select("__score").collect()
-    return float(np.quantile([r["__score"] for r in right], UNSURE)) if right else 0.0
+    right = annotate(rows.orderBy("h").limit(DOCS_IN_ALL), model).where("lang_pred = lang").select("score").collect()
+    return float(np.quantile([r["score"] for r in right], UNSURE)) if right else 0.0
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,14 +228,14 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), lambda batch: _predicted(batch, model, [0]), schema)
 
 
-def annotate(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows as they are, with lang_pred and score behind all columns (which may have these names too)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+def annotate(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The rows as they are, with the prediction and its score behind all columns, under names that the caller knows to be free."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     names, at = docs.columns, docs.columns.index(text)
 
     def f(batch):
         for part in _predicted(batch, model, [], at):
-            yield {name: batch.column(k) for k, name in enumerate(names)} | {"__lang_pred": part["lang_pred"], "__score": part["score"]}
+            yield {name: batch.column(k) for k, name in enumerate(names)} | {lang_pred: part["lang_pred"], score: part["score"]}
 
     return map_arrow(docs, f, schema)
 

@@ -90,11 +90,11 @@ def _block_rows(block: _Block, ids: pa.Array, training: np.ndarray, block_id: in
     number[by_count] = np.arange(len(unique))
     blob = _press(number[back].astype("<u4"), by_count.astype("<u4"), counts.astype("<u4"), own.astype("u1"))
     yield {"kind": 0, "block": block_id, "bucket": -1, "ids": ids.slice(block.first, len(counts)), "blob": blob}
-    edges = np.searchsorted(unique, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)) if buckets > 1 else np.zeros(0, np.int64)
-    edges = np.r_[0, edges, len(unique)]
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        s = slice(edges[b], edges[b + 1])
-        yield {"kind": 1, "block": block_id, "bucket": b, "ids": None, "blob": _press(unique[s], in_training[s].astype("<u4"))}
+    to = ((unique >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ranges of hashes, as many as there are buckets
+    edges = np.append(np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)).tolist() if len(to) else [0]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        s = slice(lo, hi)
+        yield {"kind": 1, "block": block_id, "bucket": int(to[lo]), "ids": None, "blob": _press(unique[s], in_training[s].astype("<u4"))}
 
 
 def _blocks(docs: DataFrame, buckets: int, schema: T.StructType) -> DataFrame:
@@ -454,7 +454,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("blob", T.BinaryType())])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = stored_bytes(docs)
-    buckets = max(partitions, min(1_000_000, -(-size // BUCKET_BYTES)))
+    buckets = max(partitions, -(-size // BUCKET_BYTES))
     n_documents = rows.where("training").count()
     blocks = cut(_blocks(rows, buckets, schema))
     counted = cut(_counted(blocks, partitions, schema))

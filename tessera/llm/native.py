@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a narrow side (a few numbers a row) is broadcast: under 100 MB.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side is broadcast; a number counts as 16 bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -106,5 +107,15 @@ def with_struct(df: DataFrame, keep: list[str | Column], value: Column) -> DataF
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if a count shows that it has at most `rows` narrow rows; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The frame, marked for broadcast if it has at most `rows` rows of BROADCAST_BYTES in all, both measured; else joins shuffle it."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.octet_length(c) + 16
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            return F.aggregate(F.transform(c, F.octet_length), F.lit(16), lambda n, x: n + x + 16)
+        return F.size(c) * 32 + 16 if isinstance(kind, T.ArrayType | T.MapType) else F.lit(16)
+
+    widths = [F.coalesce(width(F.col(f"`{f.name}`"), f.dataType).cast("long"), F.lit(16)) for f in df.schema.fields]
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum(widths, F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df

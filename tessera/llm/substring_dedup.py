@@ -6,6 +6,10 @@ same minimiser (same place) travel as one packed string of their words to the mi
 there sorting the windows' hashes counts them. Words covered by a window that starts anywhere else
 too are removed.
 
+Runs that are frequent minimisers (counted by block over all documents, the HOT most frequent) come last in the order of
+minimisers, everywhere alike. A window so has a frequent one only if all its runs are frequent, as inside a passage of many
+copies, where strings are equal and combine; windows around a common phrase go to many buckets.
+
 Before the shuffle, equal packed strings of a block of documents are combined: one travels, marked as
 repeated, and the others' windows are known to be repeated at once. A group of copies of any size so
 sends each string once for each block. In a bucket, a minimiser with one unmarked string is settled
@@ -34,8 +38,11 @@ from tessera.llm.common import id_field, map_arrow, releasing, row_key, stored_b
 WINDOW, GRAM = 35, 8
 #: Input bytes (as stored) for one bucket; a bucket is what a task holds in memory at a time.
 BUCKET_BYTES = 4_000_000
+#: Frequent minimisers that come last, at most; counted in blocks that have HOT_IN_BLOCK strings of them or more.
+HOT, HOT_IN_BLOCK, BLOCK_BYTES = 65_536, 8, 40_000_000
 U64 = np.uint64
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
+NONE = np.zeros(0, U64)
 _HEAD = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("windows", "<u2"), ("many", "u1"), ("size", "<u4")])
 _SPAN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("first", "<u4"), ("last", "<u4")])
 
@@ -79,12 +86,20 @@ def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
-def super_kmers(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ranked(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The grams' places in the order of minimisers: by hash, frequent ones (hot, sorted) after all others."""
+    if not len(hot):
+        return grams >> U64(1)
+    last = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+    return (grams >> U64(1)) | (last.astype(U64) << U64(63))
+
+
+def super_kmers(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM, hot: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents' word hashes: document, first word (in the run), number of windows and minimiser of every super-k-mer."""
     none = np.zeros(0, np.int64)
     if len(words) < window:
         return none, none, none, np.zeros(0, U64)
-    grams = rolled(words, gram)
+    grams = ranked(rolled(words, gram), hot)
     at = leftmost_min(grams, window - gram + 1)
     count = np.maximum(np.diff(first) - window + 1, 0)
     starts = ranges(first[:-1], count)
@@ -107,14 +122,14 @@ def _sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 class _Block:
     """Super-k-mers of a block of documents, to be combined and dealt to buckets."""
 
-    def __init__(self, buckets: int, window: int, gram: int):
-        self.buckets, self.window, self.gram = buckets, window, gram
+    def __init__(self, buckets: int, window: int, gram: int, hot: np.ndarray):
+        self.buckets, self.window, self.gram, self.hot = buckets, window, gram, hot
         self.heads, self.hashes, self.packed, self.minimisers, self.bytes = [], [], [], [], 0
 
     def add(self, run: Run, k1: np.ndarray, k2: np.ndarray) -> None:
         starts, ends, first = run.words()
         words = span_hashes(run.data, starts, ends) if len(starts) else np.zeros(0, U64)
-        doc, begin, many, minimiser = super_kmers(words, first, self.window, self.gram)
+        doc, begin, many, minimiser = super_kmers(words, first, self.window, self.gram, self.hot)
         most = 60_000  # windows a head can count
         if len(many) and many.max() > most:
             reps = -(-many // most)
@@ -154,10 +169,11 @@ class _Block:
                 rows["blob"].append(part.tobytes())
         travel = np.flatnonzero(~same)
         travel = travel[np.argsort(bucket[travel], kind="stable")]
-        edges = np.searchsorted(bucket[travel], np.arange(self.buckets + 1))
+        to = bucket[travel]
+        edges = np.append(np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)).tolist() if len(to) else [0]
         press = zstandard.ZstdCompressor(level=3)
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            some = travel[edges[b] : edges[b + 1]]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            b, some = int(to[begin]), travel[begin:end]
             text = b"".join([self.packed[i] for i in some.tolist()])
             own = head[some]
             blob = press.compress(b"".join([len(some).to_bytes(4, "little"), *[np.ascontiguousarray(own[c]).tobytes() for c in _HEAD.names], text]))
@@ -178,7 +194,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     return head, data[at:]
 
 
-def repeated_spans(blobs: list[bytes], window: int, gram: int) -> np.ndarray:
+def repeated_spans(blobs: list[bytes], window: int, gram: int, hot: np.ndarray = NONE) -> np.ndarray:
     """Word spans (k1, k2, first, last) of the windows of one bucket that stand in more than one place."""
     heads, words, counts = [], [], []
     for blob in blobs:
@@ -192,7 +208,7 @@ def repeated_spans(blobs: list[bytes], window: int, gram: int) -> np.ndarray:
         counts.append(np.diff(first))
     head, word, count = np.concatenate(heads), np.concatenate(words), np.concatenate(counts)
     begin = np.cumsum(count) - count
-    grams = rolled(word, gram)
+    grams = ranked(rolled(word, gram), hot)
     inside = np.full(len(word), np.iinfo(np.uint64).max, U64)
     inside[: len(grams)] = grams
     for k in range(gram - 1):  # runs of words that leave their super-k-mer
@@ -230,15 +246,46 @@ def repeated_spans(blobs: list[bytes], window: int, gram: int) -> np.ndarray:
     return out
 
 
-def _packed(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+def frequent_minimisers(docs: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Grams that are minimisers of many strings, sorted; HOT of them at most, the most frequent ones."""
+
+    def count(batch):
+        held, size = [], 0
+
+        def many():
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= HOT_IN_BLOCK
+            return {"gram": grams[often].astype(np.int64), "n": times[often]}
+
+        for run in runs(batch.column(0)):
+            starts, ends, first = run.words()
+            words = span_hashes(run.data, starts, ends) if len(starts) else NONE
+            n = np.maximum(np.diff(first) - window + 1, 0)
+            if n.any():
+                grams = rolled(words, gram)
+                place = leftmost_min(ranked(grams, NONE), window - gram + 1)[ranges(first[:-1], n)]
+                held.append(grams[place[np.r_[True, place[1:] != place[:-1]]]])
+            size += len(run.data)
+            if size >= BLOCK_BYTES and held:
+                yield many()
+                held, size = [], 0
+        if held:
+            yield many()
+
+    counted = map_arrow(docs.select("text"), count, T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]))
+    top = counted.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(HOT).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in top], np.int64).astype(U64))
+
+
+def _packed(docs: DataFrame, buckets: int, window: int, gram: int, hot: np.ndarray) -> DataFrame:
     def deal(batch):
-        block = _Block(buckets, window, gram)
+        block = _Block(buckets, window, gram, hot)
         k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
         for run in runs(batch.column(0)):
             block.add(run, k1[run.first : run.first + run.n], k2[run.first : run.first + run.n])
-            if block.bytes >= 40_000_000:
+            if block.bytes >= BLOCK_BYTES:
                 yield from block.flush()
-                block = _Block(buckets, window, gram)
+                block = _Block(buckets, window, gram, hot)
         yield from block.flush()
 
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
@@ -247,6 +294,7 @@ def _packed(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
 
 def repeated_words(docs: DataFrame, buckets: int, partitions: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k1, k2, first, last): word spans, both ends included, of all repeated windows of (text, k1, k2)."""
+    hot = frequent_minimisers(docs, window, gram)
 
     def solve(batches):
         def out(spans: np.ndarray):
@@ -261,13 +309,13 @@ def repeated_words(docs: DataFrame, buckets: int, partitions: int, window: int =
                     continue
                 if b != now:
                     if held:
-                        yield from out(repeated_spans(held, window, gram))
+                        yield from out(repeated_spans(held, window, gram, hot))
                     now, held = b, []
                 held.append(blob.as_py())
         if held:
-            yield from out(repeated_spans(held, window, gram))
+            yield from out(repeated_spans(held, window, gram, hot))
 
-    dealt = _packed(docs, buckets, window, gram).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    dealt = _packed(docs, buckets, window, gram, hot).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(releasing(solve), "k1 long, k2 long, first int, last int")
 
 
@@ -278,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
     size = stored_bytes(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, min(1_000_000, -(-size // bucket_bytes)))
+    buckets = max(partitions, -(-size // bucket_bytes))
     spans = repeated_words(rows, buckets, partitions, window, gram)
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
