@@ -59,8 +59,8 @@ HOT, HOT_IN_BLOCK = 65_536, 5
 COUNTERS, ROUNDS = 256, 2
 #: Pairs whose histograms are compared at a time, and candidates held before each entity's nearest is kept.
 PAIRS_AT_ONCE, CANDIDATES = 65_536, 1_000_000
-#: Stored input bytes for one bucket of signatures; text bytes of a block, which bounds a worker's memory.
-BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
+#: Stored input bytes for one bucket of signatures; text bytes of a block of sets and of one that is signed, which bound a worker's memory.
+BUCKET_BYTES, BLOCK_BYTES, SIGNED_BYTES = 8_000_000, 8_000_000, 4_000_000
 #: Bits of a signature that travel. Equal ones of different sets only make more to compare; for those of one set `needs` asks less.
 SIGNATURE_BITS = 40
 U64 = np.uint64
@@ -131,7 +131,7 @@ def signatures(value: np.ndarray, first: np.ndarray, hot: np.ndarray, similarity
     s, t = similarity
     k = limit(n, similarity)
     cold = ~(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value) if len(hot) else np.ones(len(value), bool)
-    owner = np.repeat(np.arange(len(n)), n)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
     out: list[tuple] = []
 
     def level(which: np.ndarray, band: np.ndarray, depth: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def signatures(value: np.ndarray, first: np.ndarray, hot: np.ndarray, similarity
             order = np.argsort(key)
             key, v, tag = key[order], v[order], tag[order]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            of = (key[at] >> U64(40)).astype(np.int64)
+            of = (key[at] >> U64(40)).astype(np.int32)
             sums = np.add.reduceat(mix(v + _K), at) if len(at) else np.zeros(0, U64)
             sig = mix(sums + mix(key[at] & U64((1 << 40) - 1)) + tag[at] * _K)
             spoiled = k
@@ -235,7 +235,7 @@ def _columns(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
 
 
-def _blocks(batch, text: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batch, text: int, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sets of blocks of documents (shingles, first), each with the rows that it covers."""
     values, sizes, size = [], [], 0
     for run in runs(batch.column(text)):
@@ -243,7 +243,7 @@ def _blocks(batch, text: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         values.append(value)
         sizes.append(np.diff(first))
         size += len(run.data)
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield np.concatenate(values), np.r_[0, np.cumsum(np.concatenate(sizes))]
             values, sizes, size = [], [], 0
     if values:
@@ -278,7 +278,7 @@ def collisions(rows: DataFrame, hot: np.ndarray, buckets: int, partitions: int,
     """Signature groups of entities that have enough collisions for a similar partner: blobs (signature, entity) by signature."""
 
     def sign(batch):
-        for value, first in _blocks(batch, 0):
+        for value, first in _blocks(batch, 0, SIGNED_BYTES):
             own = digests(value, first)
             _, one = np.unique(own, return_index=True)
             n = np.diff(first)[one]

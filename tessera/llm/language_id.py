@@ -174,6 +174,15 @@ def _below(rows: DataFrame, upto: dict[str, int]) -> DataFrame:
     return rows.where(chosen)
 
 
+def _least(rows: DataFrame, counts_of: dict[str, int], most: int) -> DataFrame:
+    """The rows of the `most` least hashes of each language, once each. About 4 times as many hashes, no texts, come to the driver."""
+    few = _below(rows, {name: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // n) for name, n in counts_of.items()}).select("lang", "h").distinct()
+    least: dict[str, list[int]] = {}
+    for r in few.collect():
+        least.setdefault(r["lang"], []).append(r["h"])
+    return _below(rows, {name: sorted(h)[:most][-1] for name, h in least.items()}).dropDuplicates(["lang", "h"])
+
+
 def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
     """Learns from at most per_language documents of each language and DOCS_IN_ALL in all, those of the least hashes of id and text.
 
@@ -186,12 +195,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     counts_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(DOCS_IN_ALL).collect()}
     langs = sorted(counts_of)
     most = max(1, min(per_language, DOCS_IN_ALL // max(1, len(langs))))
-    # about 4 times as many hashes of each language as are needed come to the driver, which cuts them off
-    few = _below(rows, {name: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // n) for name, n in counts_of.items()}).select("lang", "h").distinct()
-    least: dict[str, list[int]] = {}
-    for r in few.collect():
-        least.setdefault(r["lang"], []).append(r["h"])
-    rows = _below(rows, {name: sorted(h)[:most][-1] for name, h in least.items()}).dropDuplicates(["lang", "h"])
+    rows = _least(rows, counts_of, most)
 
     def counts(batch):
         at, n = [], []
@@ -214,11 +218,14 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
 def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> float:
     """The score that all but a share UNSURE of labelled rows reach when their language is predicted rightly; 0 without any.
 
-    usable: rows that the model has not learned from; at most DOCS_IN_ALL of them, those of the least hashes.
+    usable: rows that the model has not learned from; of each language as many as it learns from at most, those of the least hashes.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(usable)
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.length(text)).alias("h"))
-    right = annotate(rows.orderBy("h").limit(DOCS_IN_ALL), model).where("lang_pred = lang").select("score").collect()
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h"))
+    counts_of = {r["lang"]: r["n"] for r in rows.where(F.col("lang").isin(model.languages)).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts_of:
+        return 0.0
+    right = annotate(_least(rows, counts_of, max(1, DOCS_IN_ALL // len(model.languages))), model).where("lang_pred = lang").select("score").collect()
     return float(np.quantile([r["score"] for r in right], UNSURE)) if right else 0.0
 
 
