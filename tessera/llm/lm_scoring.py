@@ -1,18 +1,26 @@
 """Log-bilinear language model with exact corpus counts.
 
 Counts. Documents are tokenised in blocks; each block sends every distinct word once, as a 64-bit hash
-with its training count, to the hash range's bucket, which sums exact corpus counts and replies to the
-block. No table of words is broadcast or collected.
+with its training count, to the hash range's bucket, and every distinct pair of neighbouring tokens likewise; buckets sum exact
+corpus counts and reply to the block. A frequent word's pairs go to all buckets. No table of words or pairs is broadcast or
+collected; what is gathered and what is learned of words and pairs grows with the corpus.
 
-Model. A word's class follows from its count alone: each of the largest counts is a class, below them a class spans
-a power of two, words never seen in training are one class, the end of a document another. The log-bilinear model predicts
+Classes. A word's class follows from its count alone: each of the largest counts is a class, below them a class spans
+a power of two, words never seen in training are one class, the end of a document another. A log-bilinear network predicts
 the next class from the two before it: a context vector, R[c1] C1 + R[c2] C2, is scored against every
 class vector plus a bias. It is trained in numpy by noise-contrastive estimation on the exact counts of
 class triples in all training documents, all of them in each epoch; there are at most CLASSES**3 of them however
-large the corpus.
-Batched matrix products over all contexts then give normalised log-probabilities, and a token's
-log-probability is that of its class plus that of the word within the class, by counts. With unknown words
-as one symbol the probabilities sum to one over the vocabulary.
+large the corpus. Batched matrix products over all contexts give normalised log-probabilities of classes, and a word within its
+class has its share by counts: together the network's D(w | h).
+
+Words. The score of word w after word v is log D(w | h) + B(v, w) - log Z(v): every pair of words of the corpus has a weight of its
+own in the bilinear form. Weights are estimated by noise contrast as well, the n(v, w) pairs seen in training against K(v) noise draws
+from D. A weight stands alone in its term of that objective, whose optimum is closed: the log-ratio of data with noise to noise,
+
+    B(v, w) = log(1 + n(v, w) / (K(v) D(w | h))),   Z(v) = 1 + n(v) / K(v),
+
+so that Z normalises exactly and pairs never seen have weight 0. K(v) is PAIR_NOISE times the mean number of different
+followers of the words of v's class. With unknown words as one symbol the probabilities sum to one over the vocabulary.
 
 Null and empty texts are a lone end token. Words compare by the 64-bit hash. Ids may be null or
 repeat: rows are scored each. Without training rows the model is uniform over classes and the base score is
@@ -21,7 +29,7 @@ log10(1 / 1) = 0 for each token. An empty table gives an empty result. Other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bytewords import ASCII_LOWER, Run, runs, span_hashes
+from tessera.llm.bytewords import ASCII_LOWER, Run, mix, runs, span_hashes
 from tessera.llm.common import cut, id_field, releasing, stored_bytes
 
 CLASSES = 256
@@ -38,7 +46,12 @@ CLASSES = 256
 TOP = 190
 END = CLASSES - 1
 #: Text bytes of a block, and stored input bytes for one bucket of words.
-BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 8_000_000
+BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: Noise draws for each different follower that words of a class have on average.
+PAIR_NOISE = 2.0
+#: What the end of a document, which is also the context of its first word, is hashed as.
+END_HASH = np.uint64(0x8F1BBCDCBFA53E0B)
+_A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Key ranges over which class triples are summed.
 TRIPLE_RANGES = 64
 DIMENSIONS, NOISE = 32, 64
@@ -79,26 +92,70 @@ class _Block:
         self.size += len(run.data)
 
 
-def _block_rows(block: _Block, ids: pa.Array, training: np.ndarray, block_id: int, buckets: int) -> Iterator[dict]:
+def _edges(sorted_values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    if not len(sorted_values):
+        return [0]
+    return np.append(np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), len(sorted_values)).tolist()
+
+
+def _range(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of 64-bit hashes, as many as there are buckets."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _sequence(word: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' tokens with an end after each, the token before each, and where each document begins."""
+    ends = np.cumsum(size) + np.arange(len(size))
+    token = np.full(len(word) + len(size), end, np.int64)
+    is_word = np.ones(len(token), bool)
+    is_word[ends] = False
+    token[is_word] = word
+    before = np.empty(len(token), np.int64)
+    before[1:] = token[:-1]
+    before[:1] = end  # the end of a document is the context of the next one's first token
+    return token, before, np.r_[0, ends[:-1] + 1].astype(np.int64)
+
+
+def _pairs(token: np.ndarray, before: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct pairs, their hashes in order, and which key each of these has; hashes are those of the tokens."""
+    key = np.sort(before * len(hashes) + token)
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    h = mix(hashes[key // len(hashes)] * _A + mix(hashes[key % len(hashes)] + _B))
+    order = np.argsort(h, kind="stable")
+    return key, h[order], order
+
+
+def _block_rows(block: _Block, ids: pa.Array, training: np.ndarray, block_id: int, buckets: int, asks: bool) -> Iterator[dict]:
+    """What a block keeps (kind 0), or what it asks of the buckets (kinds 1 and 7)."""
     words, counts = np.concatenate(block.words), np.concatenate(block.counts)
     own = training[block.first : block.first + len(counts)]
     unique, back = np.unique(words, return_inverse=True)
-    seen = np.bincount(back, minlength=len(unique))
+    if not asks:
+        by_count = np.argsort(-np.bincount(back, minlength=len(unique)), kind="stable")  # common words get small numbers
+        number = np.empty(len(unique), np.int64)
+        number[by_count] = np.arange(len(unique))
+        blob = _press(number[back].astype("<u4"), by_count.astype("<u4"), counts.astype("<u4"), own.astype("u1"), np.diff(unique, prepend=np.uint64(0)))
+        yield {"kind": 0, "block": block_id, "bucket": -1, "ids": ids.slice(block.first, len(counts)), "blob": blob}
+        return
     in_training = np.bincount(back[np.repeat(own, counts)], minlength=len(unique))
-    by_count = np.argsort(-seen, kind="stable")  # common words get small numbers
-    number = np.empty(len(unique), np.int64)
-    number[by_count] = np.arange(len(unique))
-    blob = _press(number[back].astype("<u4"), by_count.astype("<u4"), counts.astype("<u4"), own.astype("u1"))
-    yield {"kind": 0, "block": block_id, "bucket": -1, "ids": ids.slice(block.first, len(counts)), "blob": blob}
-    to = ((unique >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ranges of hashes, as many as there are buckets
-    edges = np.append(np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)).tolist() if len(to) else [0]
+    to = _range(unique, buckets)
+    edges = _edges(to)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield {"kind": 1, "block": block_id, "bucket": int(to[lo]), "ids": None, "blob": _press(unique[lo:hi], in_training[lo:hi].astype("<u4"))}
+    hashes = np.append(unique, END_HASH)
+    token, before, _ = _sequence(back, counts, len(unique))
+    key, h, order = _pairs(token, before, hashes)
+    learned = np.sort((before * len(hashes) + token)[np.repeat(own, counts + 1)])
+    n = (np.searchsorted(learned, key, "right") - np.searchsorted(learned, key))[order].astype("<u4")
+    to = _range(h, buckets)
+    edges = _edges(to)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        s = slice(lo, hi)
-        yield {"kind": 1, "block": block_id, "bucket": int(to[lo]), "ids": None, "blob": _press(unique[s], in_training[s].astype("<u4"))}
+        yield {"kind": 7, "block": block_id, "bucket": int(to[lo]), "ids": None, "blob": _press(np.diff(h[lo:hi], prepend=np.uint64(0)), n[lo:hi])}
 
 
-def _blocks(docs: DataFrame, buckets: int, schema: T.StructType) -> DataFrame:
-    """kind 0: a block's ids and tokens; kind 1: its distinct words of one bucket with their training counts."""
+def _blocks(docs: DataFrame, buckets: int, schema: T.StructType, asks: bool) -> DataFrame:
+    """kind 0: a block's ids, tokens and words; kind 1: its distinct words of one bucket with their training counts; kind 7: its distinct pairs likewise."""
 
     def run_blocks(batches):
         from pyspark import TaskContext
@@ -111,11 +168,11 @@ def _blocks(docs: DataFrame, buckets: int, schema: T.StructType) -> DataFrame:
                 block.add(run)
                 upto = run.first + run.n
                 if block.size >= BLOCK_BYTES:
-                    yield from _batches(_block_rows(block, batch.column(0), training, at, buckets), schema)
+                    yield from _batches(_block_rows(block, batch.column(0), training, at, buckets, asks), schema)
                     at, block = at + 1, _Block()
                     block.first = upto
             if block.words:
-                yield from _batches(_block_rows(block, batch.column(0), training, at, buckets), schema)
+                yield from _batches(_block_rows(block, batch.column(0), training, at, buckets, asks), schema)
                 at += 1
 
     return docs.mapInArrow(releasing(run_blocks), schema)
@@ -158,40 +215,56 @@ def _bin(c: np.ndarray) -> np.ndarray:
 
 
 def _counted(blocks: DataFrame, partitions: int, schema: T.StructType) -> DataFrame:
-    """kind 2: a block's corpus counts for one bucket, in its order; kind 3: sums for the power-of-two classes; kind 4: a bucket's largest counts."""
+    """kind 2: a block's corpus counts of words for one bucket, in its order; kind 3: sums for the power-of-two classes; kind 4: a bucket's
+    largest counts; kind 9: as kind 2 for pairs, twice the count and one more where the block is the pair's first. A bucket's words,
+    then its pairs, are in memory at a time."""
+
+    def words(bucket: int, held: list[tuple[int, bytes]]):
+        parts = [(block, *_unpress(blob, "<u8", "<u4")) for block, blob in held]
+        unique, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, back, np.concatenate([p[2] for p in parts]).astype(np.int64))
+        lo = 0
+        for block, own, _ in parts:
+            yield {"kind": 2, "block": block, "bucket": bucket, "ids": None, "blob": _press(total[back[lo : lo + len(own)]].astype("<u8"))}
+            lo += len(own)
+        seen = total[total > 0]
+        which = _bin(seen) - TOP
+        yield {"kind": 3, "block": -1, "bucket": bucket, "ids": None, "blob": np.stack([np.bincount(which, minlength=64), np.bincount(which, seen + 1, minlength=64).astype(np.int64)]).astype("<i8").tobytes()}
+        most = np.sort(seen)[-(TOP + 1) :]
+        yield {"kind": 4, "block": -1, "bucket": bucket, "ids": None, "blob": most.astype("<i8").tobytes()}
+
+    def pairs(bucket: int, held: list[tuple[int, bytes]]):
+        parts = [(block, *_unpress(blob, "<u8", "<u4")) for block, blob in held]
+        h = np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])
+        order = np.argsort(h, kind="stable")
+        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, np.concatenate([p[2] for p in parts])[order]).astype(np.int64)
+        reply = np.empty(len(h), np.int64)
+        reply[order] = 2 * total[group] + new
+        lo = 0
+        for block, own, _ in parts:
+            yield {"kind": 9, "block": block, "bucket": bucket, "ids": None, "blob": _press(reply[lo : lo + len(own)].astype("<u8"))}
+            lo += len(own)
 
     def count(batches):
-        def solve(bucket: int, held: list[tuple[int, bytes]]):
-            parts = [(block, *_unpress(blob, "<u8", "<u4")) for block, blob in held]
-            unique, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            total = np.zeros(len(unique), np.int64)
-            np.add.at(total, back, np.concatenate([p[2] for p in parts]).astype(np.int64))
-            lo = 0
-            for block, words, _ in parts:
-                yield {"kind": 2, "block": block, "bucket": bucket, "ids": None, "blob": _press(total[back[lo : lo + len(words)]].astype("<u8"))}
-                lo += len(words)
-            seen = total[total > 0]
-            which = _bin(seen) - TOP
-            yield {"kind": 3, "block": -1, "bucket": bucket, "ids": None, "blob": np.stack([np.bincount(which, minlength=64), np.bincount(which, seen + 1, minlength=64).astype(np.int64)]).astype("<i8").tobytes()}
-            most = np.sort(seen)[-(TOP + 1) :]
-            yield {"kind": 4, "block": -1, "bucket": bucket, "ids": None, "blob": most.astype("<i8").tobytes()}
-
         def all_rows():
             now, held = None, []
             for batch in batches:
-                for block, b, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                    if b != now:
+                for kind, block, b, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    if (b, kind) != now:
                         if held:
-                            yield from solve(now, held)
-                        now, held = b, []
+                            yield from (words if now[1] == 1 else pairs)(now[0], held)
+                        now, held = (b, kind), []
                     held.append((block, blob))
             if held:
-                yield from solve(now, held)
+                yield from (words if now[1] == 1 else pairs)(now[0], held)
 
         yield from _batches(all_rows(), schema)
 
-    words = blocks.where("kind = 1").select("block", "bucket", "blob")
-    return words.repartition(partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(releasing(count), schema)
+    asked = blocks.where("kind in (1, 7)").select("kind", "block", "bucket", "blob")
+    return asked.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(releasing(count), schema)
 
 
 class Counts:
@@ -208,6 +281,9 @@ class Counts:
         mass = mass.astype(float).copy()
         np.subtract.at(mass, _bin(self.values) - TOP, self.many * (self.values + 1.0))
         self.mass = mass
+        self.words = words.astype(np.int64).copy()  # of the power-of-two classes, without those that are classes of their own
+        np.subtract.at(self.words, _bin(self.values) - TOP, self.many)
+        self.noise = np.ones(CLASSES)  # K of the pairs, by the class of their first word
 
     def classes(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of words by their counts, and log10 of the word's share in its class."""
@@ -221,6 +297,14 @@ class Counts:
             out[own], share[own] = at[own], 1 / self.many[at[own]]
         return out, np.log10(share)
 
+    def contrast(self, followers: np.ndarray) -> None:
+        """Sets K from the numbers of different followers that the words of each class have in all."""
+        words = np.zeros(CLASSES)
+        words[: len(self.many)] = self.many
+        words[TOP : TOP + 64] = self.words
+        words[END] = 1
+        self.noise = PAIR_NOISE * np.maximum(1.0, followers / np.maximum(words, 1))
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.tokens + self.distinct + 1.0))
 
@@ -255,33 +339,32 @@ def corpus_counts(counted: DataFrame, n_documents: int) -> Counts:
 
 
 def _resolved(blocks: DataFrame, counted: DataFrame, counts: Counts, partitions: int, schema: T.StructType) -> DataFrame:
-    """kind 5: a block's ids, token classes and sums by document; kind 6: its class triples in training, by key range."""
+    """kind 5: a block's ids, tokens' counts and pairs' counts, and sums by document; kind 6: its class triples in training, by key range; kind 8: followers by class."""
 
     def resolve(batches):
-        def solve(block: int, ids, blob: bytes, replies: list[bytes]):
-            number, by_count, size, training = _unpress(blob, "<u4", "<u4", "<u4", "u1")
-            size = size.astype(np.int64)
-            c_word = np.concatenate([_unpress(r, "<u8")[0] for r in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
-            cls_word, log_word = counts.classes(c_word)
-            cls_word, log_word, base_word, known_word = (x[by_count] for x in (cls_word, log_word, counts.base(c_word), c_word > 0))
-            n_docs, n_words = len(size), len(number)
-            ends = np.cumsum(size) + np.arange(n_docs)  # places of the end tokens
-            is_end = np.zeros(n_words + n_docs, bool)
-            is_end[ends] = True
-            cls = np.full(n_words + n_docs, END, np.uint8)
-            cls[~is_end] = cls_word[number]
-            begin = np.r_[0, ends[:-1] + 1]
-
-            def by_doc(x: np.ndarray, end: float) -> np.ndarray:
-                full = np.full(n_words + n_docs, end)
-                full[~is_end] = x[number]
-                return np.add.reduceat(full, begin)
-
-            known = by_doc(known_word.astype(float), float(counts.n_documents > 0))
-            base, inner = by_doc(base_word, float(counts.base(np.array([counts.n_documents]))[0])), by_doc(log_word, 0.0)
-            yield {"kind": 5, "block": block, "bucket": -1, "ids": ids, "blob": _press(cls, (size + 1).astype("<u4"), known.astype("<u4"), base.astype("<f8"), inner.astype("<f8"))}
-            key = _contexts(cls, begin) * CLASSES + cls
-            keys, n = np.unique(key[np.repeat(training > 0, size + 1)], return_counts=True)
+        def solve(block: int, ids, blob: bytes, replies: dict[int, list[bytes]]):
+            number, by_count, size, training, unique = _unpress(blob, "<u4", "<u4", "<u4", "u1", "<u8")
+            size, unique = size.astype(np.int64), np.cumsum(unique, dtype=np.uint64)
+            joined = lambda kind: np.concatenate([_unpress(r, "<u8")[0] for r in replies[kind]]).astype(np.int64) if replies[kind] else np.zeros(0, np.int64)
+            c_word, c_pair = joined(2), joined(9)
+            if len(c_word) != len(unique):
+                raise ValueError("the rows were not the same when they were read again")
+            hashes, end = np.append(unique, END_HASH), len(unique)
+            token, before, begin = _sequence(by_count.astype(np.int64)[number], size, end)
+            c_token = np.append(c_word, counts.n_documents)
+            cls_token = np.append(counts.classes(c_word)[0], END)
+            known, base = c_token > 0, counts.base(c_token)
+            key, _, order = _pairs(token, before, hashes)
+            n_pair = np.empty(len(key), np.int64)
+            n_pair[order] = c_pair >> 1
+            firsts = order[(c_pair & 1 > 0) & (c_pair > 1)]
+            yield {"kind": 8, "block": block, "bucket": -1, "ids": None, "blob": np.bincount(cls_token[key[firsts] // len(hashes)], minlength=CLASSES).astype("<i8").tobytes()}
+            n = n_pair[np.searchsorted(key, before * len(hashes) + token)]
+            by_doc = lambda x: np.add.reduceat(x[token], begin)
+            yield {"kind": 5, "block": block, "bucket": -1, "ids": ids, "blob": _press(c_token[token].astype("<u8"), n.astype("<u8"), (size + 1).astype("<u4"), by_doc(known.astype(np.int64)).astype("<u4"), by_doc(base).astype("<f8"))}
+            cls = cls_token[token]
+            triple = _contexts(cls, begin) * CLASSES + cls
+            keys, n = np.unique(triple[np.repeat(training > 0, size + 1)], return_counts=True)
             width = CLASSES**3 // TRIPLE_RANGES
             edges = np.searchsorted(keys, np.arange(TRIPLE_RANGES + 1) * width)
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -289,25 +372,25 @@ def _resolved(blocks: DataFrame, counted: DataFrame, counts: Counts, partitions:
                 yield {"kind": 6, "block": block, "bucket": b, "ids": None, "blob": _press(keys[s].astype("<u4"), n[s].astype("<u4"))}
 
         def all_rows():
-            now, own, replies = None, None, []
+            now, own, replies = None, None, {2: [], 9: []}
             for batch in batches:
                 for k in range(batch.num_rows):
                     kind, block = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                     if block != now:
                         if own:
                             yield from solve(now, *own, replies)
-                        now, own, replies = block, None, []
+                        now, own, replies = block, None, {2: [], 9: []}
                     if kind == 0:
                         own = (batch.column(3).slice(k, 1).flatten(), batch.column(4)[k].as_py())
                     else:
-                        replies.append(batch.column(4)[k].as_py())
+                        replies[kind].append(batch.column(4)[k].as_py())
             if own:
                 yield from solve(now, *own, replies)
 
         yield from _batches(all_rows(), schema)
 
-    both = blocks.where("kind = 0").unionByName(counted.where("kind = 2"))
-    return both.repartition(partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(releasing(resolve), schema)
+    both = blocks.unionByName(counted.where("kind in (2, 9)"))
+    return both.repartition(partitions, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(releasing(resolve), schema)
 
 
 def _contexts(cls: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -342,6 +425,20 @@ def triple_counts(resolved: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _merged(parts) if parts else (np.zeros(0, "<u4"), np.zeros(0, "<u8"))
 
 
+def followers(resolved: DataFrame) -> np.ndarray:
+    """Numbers of different followers that the words of each class have in training, summed on executors."""
+
+    def add(batches):
+        total = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                total += np.frombuffer(blob, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["blob"])
+
+    rows = resolved.where("kind = 8").select("blob").mapInArrow(add, "blob binary").coalesce(16).mapInArrow(add, "blob binary").collect()
+    return sum((np.frombuffer(bytes(r["blob"]), "<i8") for r in rows), np.zeros(CLASSES, np.int64))
+
+
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     n = np.zeros(len(keys), "<u8")
@@ -437,10 +534,19 @@ def _scored(resolved: DataFrame, model: LogBilinear, counts: Counts, id_type: T.
         out = to_arrow_schema(schema)
         for batch in batches:
             for k in range(batch.num_rows):
-                cls, size, known, base, inner = _unpress(batch.column(1)[k].as_py(), "u1", "<u4", "<u4", "<f8", "<f8")
-                begin = np.cumsum(size.astype(np.int64)) - size
-                logs = _table(model)[_contexts(cls, begin), cls]
-                values = [batch.column(0).slice(k, 1).flatten(), size, known, np.full(len(size), tokens), base, inner + np.add.reduceat(logs, begin, dtype=np.float64)]
+                c, n, size, known, base = _unpress(batch.column(1)[k].as_py(), "<u8", "<u8", "<u4", "<u4", "<f8")
+                size, c = size.astype(np.int64), c.astype(np.int64)
+                begin = np.cumsum(size) - size
+                ends = begin + size - 1
+                cls, share = counts.classes(c)
+                cls[ends], share[ends] = END, 0.0
+                network = np.power(10.0, _table(model)[_contexts(cls, begin), cls] + share)
+                before, seen = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+                before[1:], seen[1:] = cls[:-1], c[:-1]
+                before[begin], seen[begin] = END, counts.n_documents
+                noise = counts.noise[before]
+                logs = np.log10((n + noise * network) / (seen + noise))
+                values = [batch.column(0).slice(k, 1).flatten(), size, known, np.full(len(size), tokens), base, np.add.reduceat(logs, begin)]
                 yield pa.RecordBatch.from_arrays([(v if isinstance(v, pa.Array) else pa.array(v)).cast(f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
     return resolved.where("kind = 5").select("ids", "blob").mapInArrow(score, schema)
@@ -456,9 +562,11 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     size = stored_bytes(docs)
     buckets = max(partitions, -(-size // BUCKET_BYTES))
     n_documents = rows.where("training").count()
-    blocks = cut(_blocks(rows, buckets, schema))
-    counted = cut(_counted(blocks, partitions, schema))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut(rows)  # blocks are made twice, of the same rows in the same order, which a scan of files gives
+    counted = cut(_counted(_blocks(rows, buckets, schema, True), partitions, schema))
     counts = corpus_counts(counted, n_documents)
-    resolved = cut(_resolved(blocks, counted, counts, partitions, schema))
+    resolved = cut(_resolved(_blocks(rows, buckets, schema, False), counted, counts, partitions, schema))
+    counts.contrast(followers(resolved))
     model = LogBilinear().fit(*triple_counts(resolved))
     return _scored(resolved, model, counts, id_type)
