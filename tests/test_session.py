@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.errors import BindProblem, LockConflict, TransactionProblem
+from tessera.errors import BindProblem, EngineError, LockConflict, TransactionProblem
 from tessera.session import Engine
 
 
@@ -179,3 +179,95 @@ def test_run_prints(products, capsys):
     products.run("SELECT * FROM none")
     out = capsys.readouterr()
     assert out.out == "[Monitor, 299]\n[OK] 1 row(s) returned.\n" and "none is unknown" in out.err
+
+
+def test_cleaning_up_takes_nothing_from_open_transactions_and_lazy_frames(spark, engine):
+    engine.load("t", spark.createDataFrame([(i, "a") for i in range(50)], "id long, v string"))
+    before = engine.sql("SELECT v FROM t")
+    other = engine.warehouse.session()
+    for k in range(12):
+        other.execute(f"UPDATE t SET v = 'b{k}'")
+    assert other.recover() == [] and {r[0] for r in before.collect()} == {"a"}
+    engine.execute("BEGIN")
+    engine.execute("UPDATE t SET v = 'z'")
+    other.recover(retention=0)
+    engine.execute("COMMIT")
+    assert set(rows(engine, "SELECT v FROM t")) == {("z",)}
+    assert other.recover(retention=0) and len(rows(engine, "SELECT id FROM t")) == 50
+
+
+def test_a_commit_whose_files_are_gone_fails(spark, engine):
+    engine.load("t", spark.createDataFrame([(1, "a")], "id long, v string"))
+    engine.execute("BEGIN")
+    engine.execute("UPDATE t SET v = 'z'")
+    Engine(spark, engine.store.files.root).recover(retention=0)  # another process that keeps nothing
+    with pytest.raises(TransactionProblem):
+        engine.execute("COMMIT")
+    assert rows(engine, "SELECT v FROM t") == [("a",)]
+
+
+def test_an_update_leaves_files_without_matches_in_place(spark, engine):
+    engine.load("t", spark.createDataFrame([(i, "a") for i in range(40)], "id long, v string"))
+    engine.execute("INSERT INTO t SELECT id, v FROM t WHERE id < 0")  # no rows
+    engine.execute("CREATE TABLE more AS SELECT id, v FROM t")
+    for low in (100, 200, 300):
+        values = ", ".join(f"({low + k}, 'x')" for k in range(5))
+        engine.execute(f"CREATE TABLE s{low} (id BIGINT, v)")
+        engine.execute(f"INSERT INTO s{low} VALUES {values}")
+        engine.execute(f"INSERT INTO t SELECT id, v FROM s{low}")
+    before = engine.store.current().tables["t"].segments
+    assert engine.execute("UPDATE t SET v = 'c' WHERE id = 203").rows == 1
+    after = engine.store.current().tables["t"].segments
+    assert len(set(before) & set(after)) == len(before) - 1
+    assert sorted(rows(engine, "SELECT v, COUNT(*) FROM t GROUP BY v")) == [("a", 40), ("c", 1), ("x", 14)]
+
+
+def test_a_frequent_first_value_is_cut_into_several_files(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "w")).store
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len(store.write(spark.createDataFrame([("same", i) for i in range(4000)], "k string, i long").repartition(8))) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_texts_against_numbers_take_plain_numbers_only(spark, engine):
+    engine.execute("CREATE TABLE t (id INT, v)")
+    engine.execute("INSERT INTO t VALUES (100000, '1e5'), (5, ' 5'), (5, '5.0'), (7, '12')")
+    assert rows(engine, "SELECT v FROM t WHERE v = id") == [("5.0",)]
+    assert sorted(rows(engine, "SELECT v FROM t WHERE id < v")) == [("12",), ("1e5",)]  # '1e5' after '100000' by bytes
+
+
+def test_more_statements(engine):
+    engine.execute("CREATE TABLE a (k INT, v)")
+    engine.execute("INSERT INTO a VALUES (1, 'x'), (2, 'y'), (2, 'y'), (3, NULL)")
+    engine.execute("CREATE TABLE b AS SELECT k AS j, k * 10 + 1 AS t FROM a WHERE k > 1")
+    assert sorted(rows(engine, "SELECT j, t FROM b")) == [(2, 21), (2, 21), (3, 31)]
+    assert sorted(rows(engine, "SELECT k, j FROM a LEFT JOIN b ON k = j AND t > 30"), key=str) == [(1, None), (2, None), (2, None), (3, 3)]
+    assert sorted(rows(engine, "SELECT k FROM a INTERSECT ALL SELECT j FROM b")) == [(2,), (2,), (3,)]
+    assert rows(engine, "SELECT k FROM a EXCEPT SELECT j FROM b") == [(1,)]
+    assert rows(engine, "SELECT k FROM a UNION SELECT j FROM b ORDER BY k DESC LIMIT 2 OFFSET 1") == [(2,), (1,)]
+    assert rows(engine, "SELECT CASE WHEN v IS NULL THEN 'none' ELSE v END AS w FROM a WHERE (k + 1) * 2 > 7") == [("none",)]
+    assert rows(engine, "SELECT k / 0 AS q FROM a WHERE k = 1") == [(None,)]
+    with pytest.raises(EngineError):
+        engine.execute("SELECT k, v FROM a UNION SELECT j FROM b")
+    with pytest.raises(EngineError):
+        engine.execute("INSERT INTO a SELECT j FROM b")
+    assert engine.execute("INSERT INTO a (k) SELECT j FROM b").rows == 3
+
+
+def test_a_deadlock_victim_leaves_no_pin(spark, engine):
+    engine.load("x", spark.createDataFrame([(1,)], "id long"))
+    engine.load("y", spark.createDataFrame([(1,)], "id long"))
+    other = engine.warehouse.session()
+    for session, table in ((engine, "x"), (other, "y")):
+        session.execute("BEGIN")
+        session.execute(f"DELETE FROM {table}")
+    for session, table in ((engine, "y"), (other, "x")):
+        with pytest.raises(TransactionProblem):
+            session.execute(f"DELETE FROM {table}")
+    with pytest.raises(TransactionProblem):
+        other.execute("COMMIT")
+    engine.execute("COMMIT")
+    assert not engine.warehouse.work and not engine.store.pinned
