@@ -22,12 +22,15 @@ from tessera.plans import nodes as N
 class Scope:
     """Columns that names may mean: (alias, column) to internal name and type."""
 
-    def __init__(self):
+    def __init__(self, table: Callable[[object], DataFrame] | None = None):
         self.columns: dict[tuple[str, str], tuple[str, T.DataType]] = {}
+        self.table = table  # of subqueries
 
     def add(self, alias: str, df: DataFrame) -> DataFrame:
         if any(a == alias for a, _ in self.columns):
             raise BindProblem(f"two sources are called {alias}")
+        if len(set(df.columns)) < len(df.columns):
+            raise BindProblem(f"two columns of {alias} have one name")
         renamed = []
         for k, f in enumerate(df.schema.fields):
             inner = f"{alias}/{k}/{f.name}"
@@ -45,6 +48,16 @@ class Scope:
         return F.col(f"`{self.find(name)[0]}`")
 
 
+    def subquery(self, query, columns: int | None = 1) -> DataFrame:
+        """An uncorrelated subquery's rows; columns: as many as it must have."""
+        if self.table is None:
+            raise BindProblem("subqueries are not allowed here")
+        out = self.table(query)
+        if columns and len(out.columns) != columns:
+            raise BindProblem(f"a subquery has {len(out.columns)} columns, not {columns}")
+        return out
+
+
 def typed(literal: N.Literal, kind: T.DataType | None) -> Column:
     """A literal as a value of a column's type; None: of a computed number."""
     if literal.text is None:
@@ -80,6 +93,10 @@ def predicate(node, scope: Scope, value: Callable | None = None) -> Column:
                 return ~bind(inner)
             case N.IsNull(inner):
                 return value(inner)[0].isNull()
+            case N.Exists(query):
+                return scope.subquery(query, None).exists()
+            case N.InQuery(inner, query):
+                return value(inner)[0].isin(scope.subquery(query))
             case N.Like(inner, pattern):
                 return value(inner)[0].cast("string").like(pattern)
             case N.Compare(op, N.Literal() as a, N.Literal() as b):
@@ -107,6 +124,9 @@ def predicate(node, scope: Scope, value: Callable | None = None) -> Column:
 def _operand(x, scope: Scope) -> tuple[Column, T.DataType]:
     if isinstance(x, N.Name):
         return scope.column(x), scope.find(x)[1]
+    if isinstance(x, N.Scalar):
+        rows = scope.subquery(x.query)
+        return rows.scalar(), rows.schema[0].dataType
     if isinstance(x, N.Arithmetic | N.Case | N.Literal) or isinstance(x, N.Call) and x.function == "ROUND":
         return _value(x, lambda y: _operand(y, scope), scope)
     if isinstance(x, N.Call):
@@ -130,14 +150,14 @@ def _label(x) -> str:
         return f"{x.function}({'DISTINCT ' * x.distinct}{'*' if x.argument is None else _label(x.argument)})"
     if isinstance(x, N.Arithmetic):
         return f"{_label(x.left)} {x.op} {_label(x.right)}"
-    if isinstance(x, N.Case):
-        return "CASE"
+    if isinstance(x, N.Case | N.Scalar):
+        return "CASE" if isinstance(x, N.Case) else "SELECT"
     return x.column if isinstance(x, N.Name) else str(getattr(x, "text", x))
 
 
-def select(query: N.Select, table: Callable[[str], DataFrame]) -> DataFrame:
-    """The query over tables by name."""
-    scope, df = Scope(), None
+def select(query: N.Select, table: Callable[[object], DataFrame]) -> DataFrame:
+    """The query over tables by name, and subqueries."""
+    scope, df = Scope(table), None
     for source in query.sources:
         own = scope.add(source.alias, table(source.table))
         if df is None:
@@ -248,6 +268,8 @@ def _grouped(query: N.Select, df: DataFrame, scope: Scope) -> DataFrame:
         if isinstance(x, N.Call):
             name = made.setdefault(x, f"aggregate/{len(made)}")
             return F.col(f"`{name}`"), None
+        if isinstance(x, N.Scalar):
+            return _operand(x, scope)
         inner, kind = scope.find(x) if isinstance(x, N.Name) else (None, None)
         if inner not in keys:
             raise BindProblem(f"{x} is neither grouped nor aggregated")

@@ -71,6 +71,22 @@ class Case:
     otherwise: object | None = None
 
 
+@dataclass(frozen=True)
+class InQuery:
+    inner: object
+    query: object
+
+
+@dataclass(frozen=True)
+class Exists:
+    query: object
+
+
+@dataclass(frozen=True)
+class Scalar:
+    query: object
+
+
 @dataclass(frozen=True)
 class Item:
     value: object | None  # None: *
@@ -79,7 +95,7 @@ class Item:
 
 @dataclass(frozen=True)
 class Source:
-    table: str
+    table: object  # a name or a query
     alias: str
     on: object | None = None  # condition of the join with what stands before it
     cross: bool = True
@@ -110,6 +126,14 @@ class Combined:
     offset: int = 0
 
 
+@dataclass(frozen=True)
+class With:
+    """A query and the queries that it may name as tables, each of which may name those before it."""
+
+    tables: tuple[tuple[str, object], ...]
+    query: object
+
+
 @dataclass(frozen=True)
 class Create:
     table: str

@@ -78,6 +78,12 @@ SELECTS = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier ORDER BY k",
     "intersect_rows": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
     "except_rows": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "in_subquery": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000)",
+    "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 2 AS limit_price FROM orders)",
+    "exists_subquery": "SELECT n_name FROM nation WHERE EXISTS (SELECT o_orderkey FROM orders WHERE o_totalprice < 0) OR n_regionkey = 1",
+    "derived_table": "SELECT t.k, c.c_name FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) t JOIN customer c ON t.k = c.c_custkey WHERE t.n > 15",
+    "with_query": "WITH big AS (SELECT o_custkey AS k, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT k FROM big WHERE total > 2000000) SELECT c_name FROM customer, top WHERE c_custkey = k",
     "order_by_asc": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey",
     "order_by_desc": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
 }
