@@ -115,6 +115,8 @@ OTHERS = {
     "txn_serializable": "SELECT * FROM (VALUES ('reader', 'READ COMMITTED', true), ('writer', 'SERIALIZABLE', false)) t(who, isolation, granted)",
     "mvcc_snapshot_view": f"SELECT 'RC' AS isolation, o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1, 2) AND xmax IN (0, 3, 4) UNION ALL SELECT 'RR', o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1) AND xmax IN (0, 4) OR xmin = 4",
     "log_records": "SELECT * FROM (VALUES ('CREATE', 0, false), ('INSERT', 2, true), ('UPDATE', 1, true), ('DELETE', 1, true), ('COMMIT', NULL, true)) t(op, n_rows, chained)",
+    "log_images": "SELECT 'before' AS image, c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'after', c_custkey, 'MOVED' FROM customer WHERE c_nationkey = 3",
+    "log_replayed": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 4",
     "log_truncated": "SELECT * FROM (VALUES ('after the second', 2), ('all', 0)) t(what, n)",
     "recover_keeps_live": "SELECT COUNT(*) AS cnt FROM customer",
     "order_by_text_numbers": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS c_text FROM customer ORDER BY c_custkey DESC",
@@ -335,6 +337,29 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.join(known, "prev_lsn", "left").select("op", F.when(F.col("op") == "CREATE", 0).otherwise(F.col("n_rows")).alias("n_rows"), F.coalesce("known", F.lit(False)).alias("chained"))
 
 
+def _customers_logged(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[int]]:
+    """Customers with an update and a delete, and the log numbers of both."""
+    own = engine(spark, sf_dir, "customer")
+    own.execute("UPDATE customer SET c_mktsegment = 'MOVED' WHERE c_nationkey = 3 AND c_mktsegment <> 'MOVED'")
+    own.execute("DELETE FROM customer WHERE c_nationkey = 4")
+    return own, [r["lsn"] for r in own.warehouse.log.frame().where("op in ('UPDATE', 'DELETE')").orderBy("lsn").collect()]
+
+
+def log_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, (update, _) = _customers_logged(spark, sf_dir)
+    return own.images(update).select("image", "c_custkey", "c_mktsegment")
+
+
+def log_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as it was loaded, with the engine's own log replayed over it."""
+    own, lsns = _customers_logged(spark, sf_dir)
+    loaded = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit(0).cast("long").alias("lsn"), F.lit("INSERT").alias("op"), "c_custkey", "c_mktsegment")
+    for lsn, op in zip(lsns, ("UPDATE", "DELETE"), strict=True):
+        image = "after" if op == "UPDATE" else "before"
+        loaded = loaded.unionByName(own.images(lsn).where(F.col("image") == image).select(F.lit(lsn).alias("lsn"), F.lit(op).alias("op"), "c_custkey", "c_mktsegment"))
+    return redo(loaded, key="c_custkey").select("c_custkey", "c_mktsegment")
+
+
 def log_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, rows = _logged(spark, sf_dir).warehouse.log, []
     lsns = [r["lsn"] for r in log.frame().orderBy("lsn").collect()]
@@ -417,7 +442,7 @@ def operator_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).sql(text)) for name, text in SELECTS.items()},
-    **{f.__name__: f for f in (text_column_vs_number_column, text_column_equals_number_column, agg_text, console_rows, number_formatting, unknown_names, catalog_reopened, insert_multi_row, insert_select, create_table_as, lock_modes, lock_deadlock, lock_timeout, txn_serializable, mvcc_snapshot_view, log_records, log_truncated, recover_keeps_live)},
+    **{f.__name__: f for f in (text_column_vs_number_column, text_column_equals_number_column, agg_text, console_rows, number_formatting, unknown_names, catalog_reopened, insert_multi_row, insert_select, create_table_as, lock_modes, lock_deadlock, lock_timeout, txn_serializable, mvcc_snapshot_view, log_records, log_images, log_replayed, log_truncated, recover_keeps_live)},
     **{f.__name__: f for f in (text_numeric_filter, order_by_text_numbers, operator_range_scan, operator_group, dml_create_insert, txn_repeatable_read, mvcc_visible_rows, wal_redo_committed, wal_undo_aborted, wal_outcomes, wal_prev_lsn_chain)},
     "dml_insert": _changed("region", ["INSERT INTO region VALUES (99, 'ATLANTIS')"], "SELECT * FROM region"),
     "dml_update_where": _changed("customer", ["UPDATE customer SET c_mktsegment = 'UPDATED' WHERE c_nationkey = 3"], "SELECT c_custkey, c_mktsegment FROM customer"),
