@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1_000_000
+#: Rows of a batch that are copied at a time.
+ROWS = 1024
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15)
 _RINV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -86,17 +88,16 @@ def runs(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[Run
     """Runs of whole documents of a string column; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, off, buf = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + chunk, "right")) - 1)
-        yield Run(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        first = last
+    for at in range(0, len(column), ROWS):
+        part = pc.fill_null(column.slice(at, ROWS).cast(pa.large_string()), "")
+        _, off, buf = part.buffers()
+        offsets = np.frombuffer(off, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(part):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + chunk, "right")) - 1)
+            yield Run(at + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
 
 
 def crc_mod(ids: list, m: int) -> np.ndarray:

@@ -57,6 +57,10 @@ def id_field(df: DataFrame, name: str, to: str = "doc_id") -> T.StructField:
     return T.StructField(to, df.schema[name].dataType, True)
 
 
+#: Input batches after which a worker's freed memory goes back at once.
+RELEASED_BYTES = 8_000_000
+
+
 def release_memory() -> None:
     """Hands freed memory back to the system: a Python worker stays for later tasks beside the executor's heap."""
     gc.collect()
@@ -91,6 +95,8 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], sche
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c := columns[x.name], pa.Array) and c.type == x.type else pa.array(c, x.type) for x in out], schema=out
                 )
+            if batch.nbytes >= RELEASED_BYTES:
+                release_memory()
 
     return df.mapInArrow(releasing(run), schema)
 

@@ -610,7 +610,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = own.join(maybe_broadcast(labels.withColumnRenamed("node", "entity")), "entity", "left")
     named = named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
     least = named.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("least"))
-    out = named.join(least, "label", "left")
+    out = named.join(cut(least), "label", "left")  # stored, so that a large class's rows can be split by the join
     alone = F.col("n") == 0
     keeps = alone | ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")))
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "entity", keeps.alias("keeps"))

@@ -129,7 +129,7 @@ def disclosing(docs: DataFrame, seen: DataFrame, doc_id: str = "doc_id", text: s
     holders = seen.select("k1", "k2", F.inline("contexts")).groupBy("k1", "k2", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("seen"))
     # an entity with fewer observations has no term with SUPPORT of them
     entities = holders.groupBy("entity").agg(F.count_distinct("seen").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    holders = cut(holders.join(entities, "entity"))
+    holders = cut(holders.join(maybe_broadcast(cut(entities)), "entity"))
     owners = maybe_broadcast(holders.select("k1", "k2").distinct())
     terms = rows.join(owners, ["k1", "k2"], "left_semi").select("k1", "k2", words)
     pairs = terms.join(holders, ["k1", "k2"]).groupBy("entity", "term").agg(F.max("n_e").alias("n_e"), F.count_distinct("seen").alias("n_te"), F.count(F.lit(1)).alias("n_both"))

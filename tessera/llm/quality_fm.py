@@ -145,14 +145,16 @@ class FactorisationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> FactorisationMachine:
-    """Learns from at most `rows` labelled documents; feature values, not texts, go to the driver.
+    """Learns from at most `rows` labels, those of the least id hashes, and for each from one text, that of the least hash; feature
+    values, not texts, go to the driver.
 
     usable: which labels may be learned from, over columns id and label.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     known = known.where(usable) if usable is not None else known
-    sample = known.orderBy(F.xxhash64(F.lit(3), "id"), "label").limit(rows)
+    sample = known.distinct().orderBy(F.xxhash64(F.lit(3), "id"), "label").limit(rows)
     joined = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")  # `rows` rows at most
+    joined = joined.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select(F.col("one.text").alias("text"), "label")
 
     def counted(batch):
         for run in runs(batch.column(0)):
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id
             }
 
     schema = T.StructType([T.StructField("label", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("at", "x", "stats")]])
-    got = map_arrow(joined.select("text", "label"), counted, schema).limit(rows).collect()
+    got = map_arrow(joined, counted, schema).collect()
     got.sort(key=lambda r: (bytes(r["stats"]), bytes(r["at"]), r["label"]))
     machine = FactorisationMachine()
     more = np.arange(BUCKETS, BUCKETS + len(STATISTICS))

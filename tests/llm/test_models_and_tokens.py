@@ -106,6 +106,41 @@ def test_base_scores_are_exact_and_probabilities_sum_to_one(docs, texts):
     assert np.allclose((10.0 ** model.table()).sum(1), 1, atol=1e-3)
 
 
+def test_scores_equal_a_plain_model(spark, docs, texts, monkeypatch):
+    """Every document's score by dictionaries of words and pairs, over the table of the network that was fitted."""
+    made, real = [], lm_scoring.LogBilinear.fit
+    monkeypatch.setattr(lm_scoring.LogBilinear, "fit", lambda self, *a, **k: made.append(real(self, *a, **k)) or made[-1])
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 40_000)
+    training = ~held_out("doc_id", 7)
+    learn = {r["doc_id"] for r in docs.where(training).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, training).collect()}
+    table = made[0].table()
+    tokens = {i: [*M.blank_words((t or "").translate(M.LOWER)), None] for i, t in texts}
+    c, pair = collections.Counter(x for i in learn for x in tokens[i]), collections.Counter()
+    for i in learn:
+        pair.update(zip([None, *tokens[i]], tokens[i], strict=False))
+    counts = lm_scoring.Counts(*_sums(c, c[None]), c[None])
+    known = [w for w in c if w is not None]
+    cls, share = counts.classes(np.array([c[w] for w in known] + [0]))
+    of = {**dict(zip(known, zip(cls.tolist(), share.tolist()), strict=False)), None: (lm_scoring.END, 0.0)}
+    unknown = (int(cls[-1]), float(share[-1]))
+    followers, words = collections.Counter(of[v][0] for v, _ in pair), collections.Counter(k for k, _ in of.values())
+    after = collections.Counter()
+    for (v, _), n in pair.items():
+        after[v] += n
+    assert all(after[v] == c[v] for v in of)  # what makes Z exact
+    for i, own in tokens.items():
+        total, c1, c2, v = 0.0, lm_scoring.END, lm_scoring.END, None
+        for w in own:
+            k, inner = of.get(w, unknown)
+            network = 10.0 ** (float(table[c2 * lm_scoring.CLASSES + c1, k]) + inner)
+            at = of.get(v, unknown)[0]
+            noise = lm_scoring.PAIR_NOISE * max(1.0, followers[at] / max(words[at], 1))
+            total += math.log10((pair[v, w] + noise * network) / (c[v] + noise))
+            c1, c2, v = k, c1, w
+        assert math.isclose(got[i], total, rel_tol=1e-5), i
+
+
 def _sums(c, ends):
     seen = np.array([n for w, n in c.items() if w is not None])
     which = lm_scoring._bin(seen) - lm_scoring.TOP

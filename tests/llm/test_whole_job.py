@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, lm_scoring, pii
+from tessera.llm import decontamination, jaccard_join, lm_scoring, pii
 from tessera.llm.common import held_out
 from tessera.llm.components import components
 from models import classes
@@ -118,6 +118,37 @@ def test_the_language_stage_rejects_junk_and_languages_that_were_not_learned(spa
     assert not any(i >= 1000 for i in kept) and len(kept) >= 0.98 * len(rows)
 
 
+def test_columns_of_any_name_pass_with_their_values(spark):
+    """Columns called like an operator's own keep name and value, whichever operator passes them on."""
+    names = ["k1", "k2", "K1_", "__k1", "spans", "many", "words", "score", "lang_pred", "__score", "keeps", "entity"]
+    same = "to be or not to be that is the question they asked of us and more"
+    texts = [same, same, "reach me at a.b@corp.example by the old mill on any day of rest", None, "", "nothing of interest is said by anyone in this short line of text"]
+    rows = [(i, t, "en", *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", *[f"`{n}` string" for n in names]]))
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again")], "item_id long, text string")
+    for run in (lambda d: decontamination.clean(d, items), pii.sanitise, jaccard_join.keep_one, lambda d: corpus_pipeline.language(spark, d, "")):
+        out = run(df)
+        assert out.dtypes == df.dtypes
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}-{r['doc_id']}" for n in names]
+
+
+def test_secrets_and_shared_parts_disclose(spark):
+    """A word that stands beside keys alone is removed, one that mostly does is generalised, what stands beside them by chance is left."""
+    rng = random.Random(3)
+    filler = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(10)]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    key = lambda: rng.randbytes(20).hex()
+    rows = [(i, f"{say(30)} token = {key()} {'vault' if i % 3 else 'plain'} {say(20)}") for i in range(60)]
+    rows += [(100 + i, say(60) + (" vault" if i < 9 else "")) for i in range(900)]
+    got = {r["doc_id"]: r["all"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in range(60):
+        assert [s["kind"] for s in got[i] if s["kind"] != "generalised"] == ["removed", "secret"]
+        assert [(text[i][s["start"] : s["end"]], s["value"]) for s in got[i] if s["kind"] == "generalised"] == [("vault", "secret")] * (i % 3 > 0)
+    assert not any(got[100 + i] for i in range(9, 900))
+
+
 def test_components_agree_in_one_task_and_in_steps(spark):
     rng = random.Random(8)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
