@@ -65,11 +65,11 @@ SELECTS = {
     "filter_between": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12",
     "filter_like": "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE 'Brand#1%' AND p_brand NOT LIKE '%2'",
     "filter_is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
-    "left_join": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000",
-    "right_join": "SELECT c_custkey, n_name FROM customer RIGHT OUTER JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 5000",
-    "full_join": "SELECT a.n_nationkey AS l, b.r_regionkey AS r FROM nation a FULL JOIN region b ON a.n_nationkey = b.r_regionkey",
+    "left_join": "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN -1 ELSE o_orderkey END AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000",
+    "right_join": "SELECT CASE WHEN c_custkey IS NULL THEN -1 ELSE c_custkey END AS c_custkey, n_name FROM customer RIGHT OUTER JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 5000",
+    "full_join": "SELECT CASE WHEN a.n_nationkey IS NULL THEN -1 ELSE a.n_nationkey END AS l, CASE WHEN b.r_regionkey IS NULL THEN -1 ELSE b.r_regionkey END AS r FROM nation a FULL JOIN region b ON a.n_nationkey = b.r_regionkey",
     "distinct_rows": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
-    "select_arithmetic": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) + l_quantity / 4, 3) AS v FROM lineitem WHERE l_quantity * 2 > 90 - l_linenumber",
+    "select_arithmetic": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) + l_quantity / 4, 5) AS v FROM lineitem WHERE l_quantity * 2 > 90 - l_linenumber",
     "case_expression": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'other' END AS kind FROM orders",
     "having": "SELECT o_custkey, COUNT(*) AS cnt FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND MAX(o_totalprice) > 100000",
     "agg_count_distinct": "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS cnt FROM orders GROUP BY o_orderstatus",
@@ -106,7 +106,7 @@ OTHERS = {
     "number_formatting": f"SELECT '[' || l_linenumber || ', ' || {_SHOWN.format('s')} || ', ' || {_SHOWN.format('a')} || ', ' || {_SHOWN.format('m')} || ']' AS line FROM (SELECT l_linenumber, SUM(l_quantity) AS s, AVG(l_quantity) AS a, MIN(l_extendedprice) AS m FROM lineitem GROUP BY l_linenumber) x UNION ALL SELECT '[OK] ' || COUNT(DISTINCT l_linenumber) || ' row(s) returned.' FROM lineitem",
     "unknown_names": "SELECT * FROM (VALUES ('SELECT nothing FROM nation', 'column nothing is unknown'), ('SELECT n_name FROM nation, nation n', 'column n_name is ambiguous'), ('SELECT * FROM nowhere', 'table nowhere is unknown'), ('SELECT nation.r_name FROM nation, region', 'column nation.r_name is unknown')) t(statement, error)",
     "catalog_reopened": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 77, 'ELSEWHERE'",
-    "insert_multi_row": "SELECT * FROM (VALUES (1, 'a', 2.5), (2, NULL, NULL), (3, 'c', NULL)) t(id, name, price)",
+    "insert_multi_row": "SELECT id, name, CAST(price AS DOUBLE) AS price FROM (VALUES (1, 'a', 2.5), (2, NULL, NULL), (3, 'c', NULL)) t(id, name, price)",
     "insert_select": "SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_nationkey = 3 UNION ALL SELECT n_nationkey, n_name FROM nation",
     "create_table_as": "SELECT c_nationkey, COUNT(*) AS cnt FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 1",
     "lock_modes": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, true), (6, false), (7, true), (8, true), (9, true), (10, false)) t(step, granted)",
@@ -114,10 +114,10 @@ OTHERS = {
     "lock_timeout": "SELECT * FROM (VALUES ('held', false), ('freed', true)) t(step, granted)",
     "txn_serializable": "SELECT * FROM (VALUES ('reader', 'READ COMMITTED', true), ('writer', 'SERIALIZABLE', false)) t(who, isolation, granted)",
     "mvcc_snapshot_view": f"SELECT 'RC' AS isolation, o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1, 2) AND xmax IN (0, 3, 4) UNION ALL SELECT 'RR', o_orderkey FROM ({_VERSIONS}) v WHERE xmin IN (0, 1) AND xmax IN (0, 4) OR xmin = 4",
-    "log_records": "SELECT * FROM (VALUES ('CREATE', 0, false), ('INSERT', 2, true), ('UPDATE', 1, true), ('DELETE', 1, true), ('COMMIT', NULL, true)) t(op, n_rows, chained)",
+    "log_records": "SELECT op, CAST(coalesce(n_rows, -1) AS BIGINT) AS n_rows, chained FROM (VALUES ('CREATE', 0, false), ('INSERT', 2, true), ('UPDATE', 1, true), ('DELETE', 1, true), ('COMMIT', NULL, true)) t(op, n_rows, chained)",
     "log_images": "SELECT 'before' AS image, c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'after', c_custkey, 'MOVED' FROM customer WHERE c_nationkey = 3",
     "log_replayed": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 4",
-    "log_truncated": "SELECT * FROM (VALUES ('after the second', 2), ('all', 0)) t(what, n)",
+    "log_truncated": "SELECT what, CAST(n AS BIGINT) AS n FROM (VALUES ('after the second', 2), ('all', 0)) t(what, n)",
     "recover_keeps_live": "SELECT COUNT(*) AS cnt FROM customer",
     "order_by_text_numbers": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS c_text FROM customer ORDER BY c_custkey DESC",
     "operator_range_scan": "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 200",
@@ -334,7 +334,7 @@ def _logged(spark: SparkSession, sf_dir: str) -> Engine:
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _logged(spark, sf_dir).warehouse.log.frame()
     known = log.select(F.col("lsn").alias("prev_lsn"), F.lit(True).alias("known"))
-    return log.join(known, "prev_lsn", "left").select("op", F.when(F.col("op") == "CREATE", 0).otherwise(F.col("n_rows")).alias("n_rows"), F.coalesce("known", F.lit(False)).alias("chained"))
+    return log.join(known, "prev_lsn", "left").select("op", F.when(F.col("op") == "CREATE", 0).otherwise(F.coalesce("n_rows", F.lit(-1))).alias("n_rows"), F.coalesce("known", F.lit(False)).alias("chained"))
 
 
 def _customers_logged(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[int]]:
