@@ -86,6 +86,15 @@ def test_token_counts(docs, encoded, no_docs):
     assert token_counts.suffix_sums(token_counts.length_histogram(token_counts.encoded_lengths(no_docs, PATH))).collect() == []
 
 
+def test_token_counts_of_odd_rows(odd_docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    want = collections.Counter(len(t.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd_docs.collect())
+    got = token_counts.length_histogram(token_counts.encoded_lengths(odd_docs, PATH)).collect()
+    assert {r["length"]: r["n_docs"] for r in got} == dict(want)
+
+
 def test_base_scores_are_exact_and_probabilities_sum_to_one(docs, texts):
     training = ~held_out("doc_id", 7)
     learn = {r["doc_id"] for r in docs.where(training).collect()}
@@ -110,7 +119,6 @@ def test_scores_equal_a_plain_model(spark, docs, texts, monkeypatch):
     """Every document's score by dictionaries of words and pairs, over the table of the network that was fitted."""
     made, real = [], lm_scoring.LogBilinear.fit
     monkeypatch.setattr(lm_scoring.LogBilinear, "fit", lambda self, *a, **k: made.append(real(self, *a, **k)) or made[-1])
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 40_000)
     training = ~held_out("doc_id", 7)
     learn = {r["doc_id"] for r in docs.where(training).collect()}
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, training).collect()}

@@ -7,10 +7,10 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, jaccard_join, lm_scoring, pii
+from tessera.llm import decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup
 from tessera.llm.common import held_out
 from tessera.llm.components import components
-from models import classes
+from models import classes, contaminated, kept_after_repeats, line_statistics
 
 
 def test_the_language_model_is_fitted_on_all_triples_at_any_size(spark):
@@ -156,3 +156,29 @@ def test_components_agree_in_one_task_and_in_steps(spark):
     steps = {tuple(r) for r in components(frame, one_task=0).collect()}
     assert steps == {tuple(r) for r in components(frame).collect()} and (460, 400) in steps and (559, 500) in steps
     assert components(frame.limit(0)).count() == components(frame.limit(0), one_task=-1).count() == 0
+
+
+def test_texts_and_words_of_more_than_a_megabyte(spark):
+    """One word longer than a run of bytes, a long document and its near copy, beside short ones."""
+    rng = random.Random(12)
+    long = [f"w{rng.getrandbits(24)}" for _ in range(140_000)]
+    other = list(long)
+    other[70_000] = "changed"
+    mail = "a.b@corp.example"
+    texts = ["y" * 1_050_000 + " a b c d e f", " ".join(long), " ".join(other) + f" {mail}", "a b c d e f", "short and done", None]
+    assert len(texts[1]) > 1_200_000
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == classes(rows) and got[2][1] == 1
+    kept = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert [kept[i] for i in range(6)] == kept_after_repeats(texts, substring_dedup.WINDOW)
+    items = [(1, " ".join(long[100_000:100_030]))]
+    hit = {r["doc_id"]: (r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontamination.contaminated_words(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [hit[i] for i in range(6)] == contaminated(rows, items)
+    judged = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality_rules.judge(df).collect()}
+    assert [judged[i] for i in range(6)] == [line_statistics(t) for t in texts]
+    spans = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["base"]] for r in pii.spans(df).collect()}
+    assert spans == {0: [], 1: [], 2: [("email", mail)], 3: [], 4: [], 5: []}
+    scored = {r["doc_id"]: r["n_tokens"] for r in lm_scoring.score(df, F.lit(True)).collect()}
+    assert scored == {0: 8, 1: 140_001, 2: 140_002, 3: 7, 4: 4, 5: 1}
