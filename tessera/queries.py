@@ -118,6 +118,7 @@ OTHERS = {
     "log_images": "SELECT 'before' AS image, c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'after', c_custkey, 'MOVED' FROM customer WHERE c_nationkey = 3",
     "log_replayed": "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 4",
     "log_truncated": "SELECT what, CAST(n AS BIGINT) AS n FROM (VALUES ('after the second', 2), ('all', 0)) t(what, n)",
+    "compact_keeps_rows": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_nationkey < 5 AND c_nationkey <> 3",
     "recover_keeps_live": "SELECT COUNT(*) AS cnt FROM customer",
     "order_by_text_numbers": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS c_text FROM customer ORDER BY c_custkey DESC",
     "operator_range_scan": "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 200",
@@ -369,6 +370,18 @@ def log_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*rows, ("all", log.frame().count())], "what string, n long")
 
 
+def compact_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files of several inserts and a delete become few; rows stay."""
+    own = engine(spark, sf_dir)
+    own.execute("CREATE TABLE t AS SELECT n_nationkey, n_name FROM nation")
+    for k in range(5):
+        own.execute(f"INSERT INTO t SELECT c_custkey, CASE WHEN c_nationkey = {k} THEN 'customer' END AS n_name FROM customer WHERE c_nationkey = {k} AND c_nationkey <> 3")
+    before, after = own.compact("t")
+    if after >= before:
+        raise EngineError(f"{before} files became {after}")
+    return own.sql("SELECT n_nationkey, n_name FROM t")
+
+
 def recover_keeps_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning up between a transaction's change and its commit takes nothing from it."""
     own = engine(spark, sf_dir, "customer")
@@ -442,7 +455,7 @@ def operator_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).sql(text)) for name, text in SELECTS.items()},
-    **{f.__name__: f for f in (text_column_vs_number_column, text_column_equals_number_column, agg_text, console_rows, number_formatting, unknown_names, catalog_reopened, insert_multi_row, insert_select, create_table_as, lock_modes, lock_deadlock, lock_timeout, txn_serializable, mvcc_snapshot_view, log_records, log_images, log_replayed, log_truncated, recover_keeps_live)},
+    **{f.__name__: f for f in (text_column_vs_number_column, text_column_equals_number_column, agg_text, console_rows, number_formatting, unknown_names, catalog_reopened, insert_multi_row, insert_select, create_table_as, lock_modes, lock_deadlock, lock_timeout, txn_serializable, mvcc_snapshot_view, log_records, log_images, log_replayed, log_truncated, compact_keeps_rows, recover_keeps_live)},
     **{f.__name__: f for f in (text_numeric_filter, order_by_text_numbers, operator_range_scan, operator_group, dml_create_insert, txn_repeatable_read, mvcc_visible_rows, wal_redo_committed, wal_undo_aborted, wal_outcomes, wal_prev_lsn_chain)},
     "dml_insert": _changed("region", ["INSERT INTO region VALUES (99, 'ATLANTIS')"], "SELECT * FROM region"),
     "dml_update_where": _changed("customer", ["UPDATE customer SET c_mktsegment = 'UPDATED' WHERE c_nationkey = 3"], "SELECT c_custkey, c_mktsegment FROM customer"),

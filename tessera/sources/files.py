@@ -28,6 +28,9 @@ class Files:
         path = self._path(folder)
         return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self.fs.listStatus(path)} if self.fs.exists(path) else {}
 
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self._path(name)).getLen()
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
 
