@@ -60,7 +60,7 @@ COUNTERS, ROUNDS = 256, 2
 #: Pairs whose histograms are compared at a time, and candidates held before each entity's nearest is kept.
 PAIRS_AT_ONCE, CANDIDATES = 65_536, 1_000_000
 #: Stored input bytes for one bucket of signatures; text bytes of a block of sets and of one that is signed, which bound a worker's memory.
-BUCKET_BYTES, BLOCK_BYTES, SIGNED_BYTES = 8_000_000, 8_000_000, 4_000_000
+BUCKET_BYTES, BLOCK_BYTES, SIGNED_BYTES = 8_000_000, 8_000_000, 2_000_000
 #: Bits of a signature that travel. Equal ones of different sets only make more to compare; for those of one set `needs` asks less.
 SIGNATURE_BITS = 40
 U64 = np.uint64
@@ -218,12 +218,12 @@ def _by_bucket(df: DataFrame, partitions: int, f: Callable[[dict[int, list[bytes
 
         now, held = None, {}
         for batch in batches:
-            for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if b != now:
                     if held:
                         yield from made(held)
                     now, held = b, {}
-                held.setdefault(kind, []).append(blob)
+                held.setdefault(kind, []).append(blob.as_py())
         if held:
             yield from made(held)
 
