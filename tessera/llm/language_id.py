@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import Run, runs
-from tessera.llm.common import id_field, map_arrow
+from tessera.llm.common import cut, id_field, map_arrow
 
 BUCKETS = 1 << 13
 #: Training documents: of a language, and in all (the bounds of the sample that the model is fitted on).
 DOCS_PER_LANGUAGE, DOCS_IN_ALL = 600, 3000
 #: Share of rightly predicted rows whose scores count as unsure.
 UNSURE = 0.002
+#: Bins of scores that are counted at a time.
+BINS = 1024
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -215,18 +217,39 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     return LanguageModel(langs, x, y)
 
 
-def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> float:
+def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str = "text", lang: str = "lang") -> float:
     """The score that all but a share UNSURE of labelled rows reach when their language is predicted rightly; 0 without any.
 
-    usable: rows that the model has not learned from; of each language as many as it learns from at most, those of the least hashes.
+    usable: rows that the model has not learned from; all of them count, repeated ones too. Their scores are stored once.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).where(usable)
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h"))
-    counts_of = {r["lang"]: r["n"] for r in rows.where(F.col("lang").isin(model.languages)).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts_of:
-        return 0.0
-    right = annotate(_least(rows, counts_of, max(1, DOCS_IN_ALL // len(model.languages))), model).where("lang_pred = lang").select("score").collect()
-    return float(np.quantile([r["score"] for r in right], UNSURE)) if right else 0.0
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    found = score_quantile(cut(annotate(rows, model).where("lang_pred = lang").select("score")), UNSURE)
+    return 0.0 if found is None else found
+
+
+def score_quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile of the column score (0 to 1), as numpy's linear one; None without rows.
+
+    Each round counts the rows of BINS equal bins and goes on within the one that has both neighbouring ranks, until they
+    fall into two bins or the bin has one value.
+    """
+    low, high, before, n = 0.0, 1.0, 0, None
+    while True:
+        at = F.least(F.floor((F.col("score") - low) * (BINS / (high - low))), F.lit(BINS - 1))
+        inside = scores.where(F.col("score").between(low, high)).groupBy(at.alias("bin"))
+        bins = sorted(map(tuple, inside.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).collect()))
+        if n is None:
+            n = sum(b[1] for b in bins)
+            if not n:
+                return None
+            rank = share * (n - 1)
+            first, second = int(rank), min(int(rank) + 1, n - 1)
+        ends = before + np.cumsum([b[1] for b in bins])
+        i, j = (int(np.searchsorted(ends, r, "right")) for r in (first, second))
+        if i != j or bins[i][2] == bins[i][3]:
+            return float(np.quantile([bins[i][3], bins[j][2]], rank - first))
+        before, low, high = int(ends[i]) - bins[i][1], bins[i][2], bins[i][3]
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

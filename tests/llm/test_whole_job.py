@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup
+from tessera.llm import decontamination, jaccard_join, language_id, lm_scoring, pii, quality_rules, substring_dedup
 from tessera.llm.common import held_out
 from tessera.llm.components import components
 from models import classes, contaminated, kept_after_repeats, line_statistics
@@ -118,6 +118,28 @@ def test_the_language_stage_rejects_junk_and_languages_that_were_not_learned(spa
     assert not any(i >= 1000 for i in kept) and len(kept) >= 0.98 * len(rows)
 
 
+def test_the_least_language_score_counts_every_held_out_row(spark):
+    rng = random.Random(6)
+    sources = {"en": "the of and thing ation er", "fr": "le les des eau que ation"}
+    words = {lang: ["".join(rng.choice(s.split()) for _ in range(rng.randint(1, 3))) for _ in range(300)] for lang, s in sources.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(2, 9))), lang) for i in range(20_000) for lang in [rng.choice(sorted(words))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").union(spark.createDataFrame([(2, "the nation", "en")] * 900, "doc_id long, text string, lang string"))
+    apart = held_out("doc_id", 4)
+    model = language_id.fit(df, ~apart)
+    right = [r["score"] for r in language_id.annotate(df.where(apart), model).where("lang_pred = lang").collect()]
+    assert len(right) > 3000
+    assert language_id.least_score(df, model, apart) == float(np.quantile(right, language_id.UNSURE))
+
+
+def test_score_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    for values in ([0.5], [0.5, 1.0], [0.7] * 5000, [0.0, 1.0, *[0.25] * 7], np.append(0.6 + rng.random(5000) * 1e-9, rng.random(9)), np.nextafter(0.9, [0, 1]).repeat(9)):
+        frame = spark.createDataFrame([(float(v),) for v in values], "score double")
+        for share in (0.0, 0.002, 0.31, 1.0):
+            assert language_id.score_quantile(frame, share) == float(np.quantile(values, share)) or abs(language_id.score_quantile(frame, share) - float(np.quantile(values, share))) < 1e-15
+    assert language_id.score_quantile(spark.createDataFrame([], "score double"), 0.1) is None
+
+
 def test_columns_of_any_name_pass_with_their_values(spark):
     """Columns called like an operator's own keep name and value, whichever operator passes them on."""
     names = ["k1", "k2", "K1_", "__k1", "spans", "many", "words", "score", "lang_pred", "__score", "keeps", "entity"]
