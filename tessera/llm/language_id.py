@@ -5,6 +5,9 @@ letter), hashed into BUCKETS and taken as shares. One-versus-rest machines first
 family; within it, one-versus-one machines for each pair of its languages vote. Every machine is
 linear in the shares, so scoring is one gather and one segmented sum over the text's bytes.
 
+The machines are fitted to all labelled rows: those are dealt by a hash of id and text into parts of
+about PART rows, each part fits every machine, and a machine is the mean of its parts'.
+
 A text that is null or has no letter is `und` with score 0. Languages are learned from rows whose
 language is not null; with none of them, every text is `und`. Repeated rows are scored each; an empty
 table gives an empty result; other columns are not read.
@@ -21,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytewords import Run, runs
-from tessera.llm.common import cut, id_field, map_arrow
+from tessera.llm.common import cut, id_field, map_arrow, releasing
 
 BUCKETS = 1 << 13
-#: Training documents: of a language, and in all (the bounds of the sample that the model is fitted on).
-DOCS_PER_LANGUAGE, DOCS_IN_ALL = 600, 3000
+#: Training documents of a part, and bytes of features that are sent on at a time.
+PART, SENT_BYTES = 1024, 4_000_000
+#: Languages that are learned.
+MOST_LANGUAGES = 3000
 #: Share of rightly predicted rows whose scores count as unsure.
 UNSURE = 0.002
 #: Bins of scores that are counted at a time.
@@ -81,46 +86,57 @@ def gram_counts(column: pa.Array):
             yield run.first + k, at, count[at]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
-    """Weights and intercept (last) of a squared-hinge linear SVM by accelerated gradient descent; y is -1 or 1, classes weigh the same."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    v = np.ones(x.shape[1], np.float32)
+def fit_svms(x: np.ndarray, sides: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
+    """Weights and intercept (last row) of a squared-hinge linear SVM for each column of sides, by accelerated gradient descent.
+
+    sides has 1, -1, or 0 for rows that a machine does not see; both sides weigh the same. Weights are sums of rows, so that
+    after the rows' inner products all steps are on the sums' coefficients. x is scaled in place.
+    """
+    scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-7))
+    x *= scale
+    gram = x @ x.T
+    share = (0.5 * np.abs(sides) / np.maximum(1, np.where(sides > 0, (sides > 0).sum(0), (sides < 0).sum(0)))).astype(np.float32)
+    u = share * x.sum(1)[:, None]
     for _ in range(8):  # the largest curvature, by power iteration
-        v = (x.T @ (share * (x @ v))) if len(x) else v
-        v /= max(np.linalg.norm(v), 1e-9)
-    top = float(v @ (x.T @ (share * (x @ v)))) + 1.0
-    rate = 1 / (1 / c + 2 * top)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    pw, pb = w, b
+        gu = gram @ u
+        norm = np.maximum(np.sqrt(np.maximum((u * gu).sum(0), 0)), 1e-9)
+        v, u = gu / norm, share * (gu / norm)
+    top = (v * u).sum(0) + 1.0
+    rate = (1 / (1 / c + 2 * top)).astype(np.float32)
+    a, b = np.zeros_like(share), np.zeros(sides.shape[1], np.float32)
+    a0, b0 = a, b
     for t in range(1, steps + 1):
-        m = (t - 1) / (t + 2)
-        zw, zb = w + m * (w - pw), b + m * (b - pb)
-        slack = np.maximum(0, 1 - y * (x @ zw + zb)).astype(np.float32)
-        g = -2 * share * y * slack
-        pw, pb = w, b
-        w, b = zw - rate * (zw / c + x.T @ g), zb - rate * g.sum()
-    return np.append(w, b).astype(np.float32)
+        m = np.float32((t - 1) / (t + 2))
+        za, zb = a + m * (a - a0), b + m * (b - b0)
+        g = -2 * share * sides * np.maximum(0, 1 - sides * (gram @ za + zb))
+        a0, b0 = a, b
+        a, b = za - rate * (za / np.float32(c) + g), zb - rate * g.sum(0)
+    return np.vstack([(x.T @ a) * scale[:, None], b])
 
 
 class LanguageModel:
     """Families, languages, and a weight column for each machine: families first, then pairs."""
 
-    def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, languages: list[str]):
         self.languages = languages
         of = [FAMILY.get(lang.lower().split("-")[0], lang) for lang in languages]
         self.families = sorted(set(of))
         self.members = [[i for i, f in enumerate(of) if f == family] for family in self.families]
-        scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-7)) if len(x) else np.ones(x.shape[1], np.float32)
-        z = (x * scale).astype(np.float32)
-        family_of = np.array([self.families.index(f) for f in of], np.int64)[y] if len(y) else y
-        columns = [fit_svm(z, np.where(family_of == k, 1, -1).astype(np.float32)) for k in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [(a, b) for own in self.members for a, b in combinations(own, 2)]
-        for a, b in self.pairs:
-            some = (y == a) | (y == b)
-            columns.append(fit_svm(z[some], np.where(y[some] == a, 1, -1).astype(np.float32)))
-        w = np.stack(columns, 1) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
-        self.weights = np.vstack([w[:-1] * scale[:, None], np.zeros((1, w.shape[1]))]).astype(np.float32)
+        alone = len(self.families) if len(self.families) > 1 else 0
+        #: For each language (row) and machine: 1, -1, or 0 if the machine does not see it.
+        self.sides = np.zeros((len(languages), alone + len(self.pairs)), np.float32)
+        for k in range(alone):
+            self.sides[:, k] = [1 if f == self.families[k] else -1 for f in of]
+        for k, (a, b) in enumerate(self.pairs, alone):
+            self.sides[a, k], self.sides[b, k] = 1, -1
+        self.place(np.zeros((BUCKETS + 1, self.sides.shape[1])))
+
+    def place(self, w: np.ndarray) -> LanguageModel:
+        """Takes the machines' weights and intercepts (last row)."""
+        self.weights = np.vstack([w[:-1], np.zeros((1, w.shape[1]))]).astype(np.float32)
         self.intercepts = w[-1].astype(np.float64)
+        return self
 
     def predict(self, run: Run) -> tuple[list[str], np.ndarray]:
         """Language and score of each document of the run."""
@@ -168,53 +184,113 @@ def _no_letter(run: Run) -> np.ndarray:
     return out
 
 
-def _below(rows: DataFrame, upto: dict[str, int]) -> DataFrame:
-    """Rows whose hash is at most that of their language."""
-    chosen = F.lit(False)
-    for name, at in sorted(upto.items()):
-        chosen = chosen | ((F.col("lang") == name) & (F.col("h") <= at))
-    return rows.where(chosen)
+def _part_machines(rows: list[tuple], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A part's machines, as weights and intercepts, and which of them see both of their sides in it; rows: language's number, buckets, counts."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (_, at, n) in enumerate(rows):
+        n = np.frombuffer(n, f"<u{max(1, 2 * len(n) // max(1, len(at)))}")
+        x[i, np.frombuffer(at, "<u2")] = n / max(1, n.sum())
+    own = sides[[r[0] for r in rows]]
+    both = np.flatnonzero((own > 0).any(0) & (own < 0).any(0))
+    return (fit_svms(x, own[:, both]) if len(both) else np.zeros((BUCKETS + 1, 0))), both
+
+
+_SUMS = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
+
+
+def _machine_sums(parts: DataFrame, sides: np.ndarray) -> DataFrame:
+    """Sums of the machines over each task's parts; a task's rows come by part, and equal (lang, h) next to each other."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(_SUMS)
+
+    def run(batches):
+        total, n, first = np.zeros((BUCKETS + 1, sides.shape[1])), np.zeros(sides.shape[1], np.int64), None
+        part, last, rows = None, None, []
+
+        def close():
+            if rows:
+                w, both = _part_machines(rows, sides)
+                total[:, both] += w
+                n[both] += 1
+                rows.clear()
+
+        for batch in batches:
+            for p, lang, h, at, count in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if p != part:
+                    close()
+                    part, first = p, p if first is None else first
+                elif (lang, h) == last:
+                    continue
+                last = lang, h
+                rows.append((lang, at, count))
+        close()
+        for k in np.flatnonzero(n):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((k, first, n[k], total[:, k].tobytes()), out, strict=True)], schema=out)
+
+    return parts.mapInArrow(releasing(run), _SUMS)
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    """One row for each machine: the sum of its sums."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(_SUMS)
 
+    def run(batches):
+        whole: dict[int, list] = {}
+        for batch in batches:
+            for k, part, n, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = whole.setdefault(k, [part, 0, 0.0])
+                own[1], own[2] = own[1] + n, own[2] + np.frombuffer(w)
+        for k, (part, n, w) in whole.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((k, part, n, w.tobytes()), out, strict=True)], schema=out)
 
-def _least(rows: DataFrame, counts_of: dict[str, int], most: int) -> DataFrame:
-    """The rows of the `most` least hashes of each language, once each. About 4 times as many hashes, no texts, come to the driver."""
-    few = _below(rows, {name: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // n) for name, n in counts_of.items()}).select("lang", "h").distinct()
-    least: dict[str, list[int]] = {}
-    for r in few.collect():
-        least.setdefault(r["lang"], []).append(r["h"])
-    return _below(rows, {name: sorted(h)[:most][-1] for name, h in least.items()}).dropDuplicates(["lang", "h"])
+    return sums.repartition("machine").sortWithinPartitions("machine", "part").mapInArrow(releasing(run), _SUMS)
 
 
-def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from at most per_language documents of each language and DOCS_IN_ALL in all, those of the least hashes of id and text.
+def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
+    """Learns from all rows with a language and a text.
 
-    usable: which rows may be learned from. Rows with equal id, text and language count once. Of more than DOCS_IN_ALL languages
-    the most frequent are learned. Feature counts, not texts, go to the driver.
+    usable: which rows may be learned from. Rows with equal id, text and language count once. Rows of a rare language go to
+    several parts each, so that every part has an equal share of PART / 2 rows of it, or all there are. Of more than
+    MOST_LANGUAGES languages the most frequent are learned. Only each machine's sum goes to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(7), F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h"))
-    counts_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(DOCS_IN_ALL).collect()}
-    langs = sorted(counts_of)
-    most = max(1, min(per_language, DOCS_IN_ALL // max(1, len(langs))))
-    rows = _least(rows, counts_of, most)
-
-    def counts(batch):
-        at, n = [], []
-        for _, a, b in gram_counts(batch.column(1)):
-            at.append(a.astype("<u2").tobytes())
-            n.append(b.astype("<u4").tobytes())
-        yield {"lang": batch.column(0), "at": at, "n": n}
-
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
-    sample = map_arrow(rows.select("lang", "text"), counts, schema).collect()
-    sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    x, y = np.zeros((len(sample), BUCKETS), np.float32), np.zeros(len(sample), np.int64)
-    for i, r in enumerate(sample):
-        n = np.frombuffer(r["n"], "<u4")
-        x[i, np.frombuffer(r["at"], "<u2")] = n / max(1, n.sum())
-        y[i] = langs.index(r["lang"])
-    return LanguageModel(langs, x, y)
+    counts_of = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
+    model = LanguageModel(sorted(counts_of))
+    if not model.sides.shape[1]:
+        return model
+    parts = -(-sum(counts_of.values()) // PART)
+    least = max(1, PART // 2 // len(counts_of))
+    dealt = {name: (k, min(parts, -(-parts * least // counts_of[name]))) for k, name in enumerate(model.languages)}
+
+    def features(batch):
+        names, hashes, seen = batch.column(0).to_pylist(), batch.column(2).to_pylist(), set()
+        out, size = [], 0
+        for row, at, n in gram_counts(batch.column(1)):
+            if names[row] not in dealt or (names[row], hashes[row]) in seen:
+                continue
+            seen.add((names[row], hashes[row]))
+            k, times = dealt[names[row]]
+            at, n = at.astype("<u2").tobytes(), n.astype("<u1" if n.max(initial=0) < 256 else "<u4").tobytes()
+            for j in range(times):
+                out.append(((hashes[row] + j) % parts, k, hashes[row], at, n))
+                size += len(at) + len(n)
+                if size >= SENT_BYTES:
+                    yield dict(zip(schema.names, zip(*out, strict=True), strict=True))
+                    out, size = [], 0
+        if out:
+            yield dict(zip(schema.names, zip(*out, strict=True), strict=True))
+
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("lang", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
+    dealt_rows = map_arrow(rows, features, schema).repartition("part").sortWithinPartitions("part", "lang", "h")
+    w = np.zeros((BUCKETS + 1, model.sides.shape[1]))
+    for r in _added(_machine_sums(dealt_rows, model.sides)).collect():
+        w[:, r["machine"]] = np.frombuffer(r["w"]) / r["n"]
+    return model.place(w)
 
 
 def least_score(docs: DataFrame, model: LanguageModel, usable: Column, text: str = "text", lang: str = "lang") -> float:

@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, language_id, lm_scoring, pii, quality_rules, substring_dedup
@@ -131,6 +132,50 @@ def test_the_least_language_score_counts_every_held_out_row(spark):
     assert language_id.least_score(df, model, apart) == float(np.quantile(right, language_id.UNSURE))
 
 
+def test_languages_are_learned_from_every_row(spark):
+    """Each row's features have weights, a language of one row is known; copies of a row and the partitions change nothing."""
+    rng = random.Random(8)
+    own = {"en": "of on in the and with", "fr": "de la en les des avec", "it": "di la in gli che della"}
+    rows = []
+    for i in range(8000):
+        lang = rng.choice(sorted(own))
+        words = [rng.choice(own[lang].split()) for _ in range(12)]
+        if i % 100 == 0:
+            words.append("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(6)))
+        rows.append((i, " ".join(words), lang))
+    rows.append((9000, "zwykle żadne słowo nie jest stąd", "pl"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    weighs = (model.weights != 0).any(1)
+    for row, at, _ in language_id.gram_counts(pa.array([t for _, t, _ in rows])):
+        assert weighs[at].all(), row
+    got = language_id.predict(df, model).join(df, "doc_id").select((F.col("lang") == F.col("lang_pred")).alias("ok"), "doc_id").collect()
+    assert sum(r["ok"] for r in got) > 0.99 * len(rows) and all(r["ok"] for r in got if r["doc_id"] == 9000)
+    again = language_id.fit(df.union(spark.createDataFrame([rows[-1]] * 3000, df.schema)).repartition(7, "text"))
+    assert again.languages == model.languages and np.allclose(again.weights, model.weights, atol=1e-3 * np.abs(model.weights).max())
+
+
+def test_machines_in_sums_of_rows_are_those_in_weights():
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 90)).astype(np.float32) ** 4
+    sides = np.stack([np.where(x[:, 0] > x[:, 1], 1, -1), rng.integers(-1, 2, 60)], 1).astype(np.float32)
+    got = language_id.fit_svms(x.copy(), sides)
+    scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-7))
+    for k in range(2):
+        some = sides[:, k] != 0
+        z, y = (x * scale)[some], sides[some, k]
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        v = np.linalg.eigh(z.T @ (share[:, None] * z))[1][:, -1]
+        rate = 1 / (1 / 10 + 2 * (v @ (z.T @ (share * (z @ v))) + 1))
+        w, b, w0, b0 = np.zeros(90), 0.0, np.zeros(90), 0.0
+        for t in range(1, 121):
+            m = (t - 1) / (t + 2)
+            zw, zb = w + m * (w - w0), b + m * (b - b0)
+            g = -2 * share * y * np.maximum(0, 1 - y * (z @ zw + zb))
+            w0, b0, w, b = w, b, zw - rate * (zw / 10 + z.T @ g), zb - rate * g.sum()
+        assert np.allclose(got[:-1, k], w * scale, rtol=0.02, atol=0.02) and abs(got[-1, k] - b) < 0.02
+
+
 def test_score_quantiles_are_exact(spark):
     rng = np.random.default_rng(2)
     for values in ([0.5], [0.5, 1.0], [0.7] * 5000, [0.0, 1.0, *[0.25] * 7], np.append(0.6 + rng.random(5000) * 1e-9, rng.random(9)), np.nextafter(0.9, [0, 1]).repeat(9)):
