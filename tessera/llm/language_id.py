@@ -27,8 +27,10 @@ from tessera.llm.bytewords import Run, runs
 from tessera.llm.common import cut, id_field, map_arrow, releasing
 
 BUCKETS = 1 << 13
-#: Training documents of a part, and bytes of features that are sent on at a time.
+#: Training documents of a part, if no language is rare; bytes of features that are sent on at a time.
 PART, SENT_BYTES = 1024, 4_000_000
+#: Rows that a part has of each rare language: so many, or in all.
+RARE, RARE_IN_ALL = 128, 2048
 #: Languages that are learned.
 MOST_LANGUAGES = 3000
 #: Share of rightly predicted rows whose scores count as unsure.
@@ -86,17 +88,28 @@ def gram_counts(column: pa.Array):
             yield run.first + k, at, count[at]
 
 
-def fit_svms(x: np.ndarray, sides: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
+def fit_svms(x: np.ndarray, sides: np.ndarray, groups: list[np.ndarray] | None = None, c: float = 10.0, steps: int = 120) -> np.ndarray:
     """Weights and intercept (last row) of a squared-hinge linear SVM for each column of sides, by accelerated gradient descent.
 
     sides has 1, -1, or 0 for rows that a machine does not see; both sides weigh the same. Weights are sums of rows, so that
-    after the rows' inner products all steps are on the sums' coefficients. x is scaled in place.
+    after the rows' inner products all steps are on the sums' coefficients; machines of a group (numbers) step together over
+    the rows that any of them sees. x is scaled in place.
     """
     scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-7))
     x *= scale
-    gram = x @ x.T
+    gram, total = x @ x.T, x.sum(1)
+    a, b = np.zeros(sides.shape, np.float32), np.zeros(sides.shape[1], np.float32)
+    for group in [np.arange(sides.shape[1])] if groups is None else groups:
+        rows = np.flatnonzero(sides[:, group].any(1))
+        if len(rows) and len(group):
+            a[np.ix_(rows, group)], b[group] = _descend(gram[np.ix_(rows, rows)], total[rows], sides[np.ix_(rows, group)], c, steps)
+    return np.vstack([(x.T @ a) * scale[:, None], b])
+
+
+def _descend(gram: np.ndarray, total: np.ndarray, sides: np.ndarray, c: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the rows and intercepts; total: the rows' sums of features."""
     share = (0.5 * np.abs(sides) / np.maximum(1, np.where(sides > 0, (sides > 0).sum(0), (sides < 0).sum(0)))).astype(np.float32)
-    u = share * x.sum(1)[:, None]
+    u = share * total[:, None]
     for _ in range(8):  # the largest curvature, by power iteration
         gu = gram @ u
         norm = np.maximum(np.sqrt(np.maximum((u * gu).sum(0), 0)), 1e-9)
@@ -111,7 +124,7 @@ def fit_svms(x: np.ndarray, sides: np.ndarray, c: float = 10.0, steps: int = 120
         g = -2 * share * sides * np.maximum(0, 1 - sides * (gram @ za + zb))
         a0, b0 = a, b
         a, b = za - rate * (za / np.float32(c) + g), zb - rate * g.sum(0)
-    return np.vstack([(x.T @ a) * scale[:, None], b])
+    return a, b
 
 
 class LanguageModel:
@@ -130,6 +143,8 @@ class LanguageModel:
             self.sides[:, k] = [1 if f == self.families[k] else -1 for f in of]
         for k, (a, b) in enumerate(self.pairs, alone):
             self.sides[a, k], self.sides[b, k] = 1, -1
+        #: Machines that step together: the families', then each family's pairs.
+        self.groups = [np.arange(alone)] + [np.array([k for k, (a, _) in enumerate(self.pairs, alone) if a in own], np.int64) for own in self.members if len(own) > 1]
         self.place(np.zeros((BUCKETS + 1, self.sides.shape[1])))
 
     def place(self, w: np.ndarray) -> LanguageModel:
@@ -184,7 +199,7 @@ def _no_letter(run: Run) -> np.ndarray:
     return out
 
 
-def _part_machines(rows: list[tuple], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _part_machines(rows: list[tuple], sides: np.ndarray, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A part's machines, as weights and intercepts, and which of them see both of their sides in it; rows: language's number, buckets, counts."""
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, (_, at, n) in enumerate(rows):
@@ -192,13 +207,13 @@ def _part_machines(rows: list[tuple], sides: np.ndarray) -> tuple[np.ndarray, np
         x[i, np.frombuffer(at, "<u2")] = n / max(1, n.sum())
     own = sides[[r[0] for r in rows]]
     both = np.flatnonzero((own > 0).any(0) & (own < 0).any(0))
-    return (fit_svms(x, own[:, both]) if len(both) else np.zeros((BUCKETS + 1, 0))), both
+    return fit_svms(x, own[:, both], [np.flatnonzero(np.isin(both, g)) for g in groups]), both
 
 
 _SUMS = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
 
 
-def _machine_sums(parts: DataFrame, sides: np.ndarray) -> DataFrame:
+def _machine_sums(parts: DataFrame, sides: np.ndarray, groups: list[np.ndarray]) -> DataFrame:
     """Sums of the machines over each task's parts; a task's rows come by part, and equal (lang, h) next to each other."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -210,7 +225,7 @@ def _machine_sums(parts: DataFrame, sides: np.ndarray) -> DataFrame:
 
         def close():
             if rows:
-                w, both = _part_machines(rows, sides)
+                w, both = _part_machines(rows, sides, groups)
                 total[:, both] += w
                 n[both] += 1
                 rows.clear()
@@ -253,8 +268,8 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     """Learns from all rows with a language and a text.
 
     usable: which rows may be learned from. Rows with equal id, text and language count once. Rows of a rare language go to
-    several parts each, so that every part has an equal share of PART / 2 rows of it, or all there are. Of more than
-    MOST_LANGUAGES languages the most frequent are learned. Only each machine's sum goes to the driver.
+    several parts each, so that every part has RARE rows of it (fewer, if RARE_IN_ALL do not give that many for each language),
+    or all there are. Of more than MOST_LANGUAGES languages the most frequent are learned. Only each machine's sum goes to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
@@ -264,7 +279,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     if not model.sides.shape[1]:
         return model
     parts = -(-sum(counts_of.values()) // PART)
-    least = max(1, PART // 2 // len(counts_of))
+    least = max(1, min(RARE, RARE_IN_ALL // len(counts_of)))
     dealt = {name: (k, min(parts, -(-parts * least // counts_of[name]))) for k, name in enumerate(model.languages)}
 
     def features(batch):
@@ -288,7 +303,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("lang", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
     dealt_rows = map_arrow(rows, features, schema).repartition("part").sortWithinPartitions("part", "lang", "h")
     w = np.zeros((BUCKETS + 1, model.sides.shape[1]))
-    for r in _added(_machine_sums(dealt_rows, model.sides)).collect():
+    for r in _added(_machine_sums(dealt_rows, model.sides, model.groups)).collect():
         w[:, r["machine"]] = np.frombuffer(r["w"]) / r["n"]
     return model.place(w)
 

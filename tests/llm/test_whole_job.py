@@ -160,6 +160,7 @@ def test_machines_in_sums_of_rows_are_those_in_weights():
     x = rng.random((60, 90)).astype(np.float32) ** 4
     sides = np.stack([np.where(x[:, 0] > x[:, 1], 1, -1), rng.integers(-1, 2, 60)], 1).astype(np.float32)
     got = language_id.fit_svms(x.copy(), sides)
+    assert np.allclose(got, language_id.fit_svms(x.copy(), sides, [np.array([0]), np.array([1])]), rtol=0.01, atol=0.01)
     scale = 1 / np.sqrt(np.maximum(x.mean(0), 1e-7))
     for k in range(2):
         some = sides[:, k] != 0
