@@ -13,7 +13,8 @@ copies, where strings are equal and combine; windows around a common phrase go t
 Before the shuffle, equal packed strings of a block of documents are combined: one travels, marked as
 repeated, and the others' windows are known to be repeated at once. A group of copies of any size so
 sends each string once for each block. In a bucket, a minimiser with one unmarked string is settled
-without a sort. Windows are compared by two independent 64-bit hashes of their words' 64-bit hashes.
+without a sort; the others are sorted in parts of whole minimisers. Windows are compared by two
+independent 64-bit hashes of their words' 64-bit hashes.
 
 Null texts have no words; texts shorter than a window keep all. Rows with equal id and text are
 repeats of each other and lose the same words. Ids may be null. An empty table gives an empty result.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bytewords import Run, _Powers, mix, ranges, runs, span_hashes
+from tessera.llm.bytewords import CHUNK, Run, _Powers, mix, ranges, runs, span_hashes
 from tessera.llm.common import id_field, map_arrow, releasing, row_key, stored_bytes
 
 WINDOW, GRAM = 35, 8
@@ -40,6 +41,10 @@ WINDOW, GRAM = 35, 8
 BUCKET_BYTES = 4_000_000
 #: Frequent minimisers that come last, at most; counted in blocks that have HOT_IN_BLOCK strings of them or more.
 HOT, HOT_IN_BLOCK, BLOCK_BYTES = 65_536, 8, 40_000_000
+#: Text of a packed row at most (but for one longer string), and of the packed rows that are made at a time.
+BLOB_BYTES, ROWS_BYTES = 4_000_000, 8_000_000
+#: Words of a bucket whose windows are sorted at a time; the strings of one minimiser stay together.
+PART_WORDS = 500_000
 U64 = np.uint64
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 NONE = np.zeros(0, U64)
@@ -124,7 +129,7 @@ class _Block:
 
     def __init__(self, buckets: int, window: int, gram: int, hot: np.ndarray):
         self.buckets, self.window, self.gram, self.hot = buckets, window, gram, hot
-        self.heads, self.hashes, self.packed, self.minimisers, self.bytes = [], [], [], [], 0
+        self.heads, self.hashes, self.places, self.minimisers, self.texts, self.bytes = [], [], [], [], [], 0
 
     def add(self, run: Run, k1: np.ndarray, k2: np.ndarray) -> None:
         starts, ends, first = run.words()
@@ -141,8 +146,8 @@ class _Block:
         head["k1"], head["k2"], head["start"], head["windows"] = k1[doc], k2[doc], begin - first[doc], many
         lo, hi = starts[begin] if len(begin) else begin, ends[stop - 1] if len(begin) else stop
         head["size"] = hi - lo
-        raw = run.data.tobytes()
-        self.packed += [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        self.places.append(lo)
+        self.texts.append(memoryview(run.data))
         self.heads.append(head)
         self.minimisers.append(minimiser)
         self.hashes.append(np.stack([_sequence_hashes(words, begin, stop), _sequence_hashes(mix(words ^ _A), begin, stop)], 1) if len(begin) else np.zeros((0, 2), U64))
@@ -151,36 +156,44 @@ class _Block:
     def flush(self) -> Iterator[dict]:
         if not self.heads or not len(head := np.concatenate(self.heads)):
             return
-        hashes, minimiser = np.concatenate(self.hashes), np.concatenate(self.minimisers)
+        place, source = np.concatenate(self.places), np.repeat(np.arange(len(self.heads)), [len(x) for x in self.heads])
+        hashes, bucket = np.concatenate(self.hashes), (np.concatenate(self.minimisers) % U64(self.buckets)).astype(np.int64)
+        self.heads, self.hashes, self.places, self.minimisers = [], [], [], []
         _, where, back = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
         leader = where[back]
         same = (leader != np.arange(len(head))) & (hashes[leader, 1] == hashes[:, 1])
         head["many"][leader[same]] = 1
-        bucket = (minimiser % U64(self.buckets)).astype(np.int64)
-        rows: dict[str, list] = {"bucket": [], "kind": [], "blob": []}
+        del hashes, where, back, leader
         if same.any():
             known = np.zeros(int(same.sum()), _SPAN)
             for c in ("k1", "k2"):
                 known[c] = head[c][same]
             known["first"], known["last"] = head["start"][same], head["start"][same] + head["windows"][same] + (self.window - 2)
-            for part in np.array_split(known, max(1, len(known) // 20_000)):
-                rows["bucket"].append(int(part["k1"][0]) % self.buckets)
-                rows["kind"].append(1)
-                rows["blob"].append(part.tobytes())
+            parts = np.array_split(known, max(1, len(known) // 20_000))
+            yield {"bucket": [int(part["k1"][0]) % self.buckets for part in parts], "kind": [1] * len(parts), "blob": [part.tobytes() for part in parts]}
         travel = np.flatnonzero(~same)
         travel = travel[np.argsort(bucket[travel], kind="stable")]
-        to = bucket[travel]
-        edges = np.append(np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)).tolist() if len(to) else [0]
+        to, size = bucket[travel], head["size"][travel].astype(np.int64)
+        new = np.r_[True, to[1:] != to[:-1]]
+        before = np.cumsum(size) - size
+        part = (before - np.maximum.accumulate(np.where(new, before, 0))) // BLOB_BYTES
+        edges = np.append(np.flatnonzero(new | np.r_[False, part[1:] != part[:-1]]), len(to)).tolist()
         press = zstandard.ZstdCompressor(level=3)
+        rows, made = {"bucket": [], "kind": [], "blob": []}, 0
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
-            b, some = int(to[begin]), travel[begin:end]
-            text = b"".join([self.packed[i] for i in some.tolist()])
+            some = travel[begin:end]
             own = head[some]
+            text = b"".join([self.texts[i][lo : lo + n] for i, lo, n in zip(source[some].tolist(), place[some].tolist(), own["size"].tolist(), strict=True)])
             blob = press.compress(b"".join([len(some).to_bytes(4, "little"), *[np.ascontiguousarray(own[c]).tobytes() for c in _HEAD.names], text]))
-            rows["bucket"].append(b)
+            rows["bucket"].append(int(to[begin]))
             rows["kind"].append(0)
             rows["blob"].append(blob)
-        yield rows
+            made += len(text)
+            if made >= ROWS_BYTES:
+                yield rows
+                rows, made = {"bucket": [], "kind": [], "blob": []}, 0
+        if made:
+            yield rows
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -194,31 +207,47 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     return head, data[at:]
 
 
-def repeated_spans(blobs: list[bytes], window: int, gram: int, hot: np.ndarray = NONE) -> np.ndarray:
+def repeated_spans(blobs: list[bytes], window: int, gram: int, hot: np.ndarray = NONE) -> Iterator[np.ndarray]:
     """Word spans (k1, k2, first, last) of the windows of one bucket that stand in more than one place."""
-    heads, words, counts = [], [], []
+    most = sum(zstandard.get_frame_parameters(blob).content_size for blob in blobs) // 2 + len(blobs)
+    word, n = np.empty(most, U64), 0  # what is not written takes no memory
+    heads, counts, least = [], [], []
     for blob in blobs:
         head, text = _unpack(blob)
-        offsets = np.zeros(len(head) + 1, np.int64)
+        data, offsets = np.frombuffer(text, np.uint8), np.zeros(len(head) + 1, np.int64)
         np.cumsum(head["size"], out=offsets[1:])
-        run = Run(0, np.frombuffer(text, np.uint8), offsets)
-        starts, ends, first = run.words()
         heads.append(head)
-        words.append(span_hashes(run.data, starts, ends))
-        counts.append(np.diff(first))
-    head, word, count = np.concatenate(heads), np.concatenate(words), np.concatenate(counts)
+        at = 0
+        while at < len(head):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+            run = Run(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            starts, ends, first = run.words()
+            own = span_hashes(run.data, starts, ends)
+            grams = ranked(rolled(own, gram), hot)
+            inside = np.full(len(own), np.iinfo(np.uint64).max, U64)
+            inside[: len(grams)] = grams
+            for k in range(gram - 1):  # runs of words that leave their super-k-mer
+                inside[first[1:] - 1 - k] = np.iinfo(np.uint64).max
+            least.append(np.minimum.reduceat(inside, first[:-1]))
+            counts.append(np.diff(first))
+            word[n : n + len(own)] = own
+            n += len(own)
+            at = to
+    head, count = np.concatenate(heads), np.concatenate(counts)
     begin = np.cumsum(count) - count
-    grams = ranked(rolled(word, gram), hot)
-    inside = np.full(len(word), np.iinfo(np.uint64).max, U64)
-    inside[: len(grams)] = grams
-    for k in range(gram - 1):  # runs of words that leave their super-k-mer
-        inside[begin + count - 1 - k] = np.iinfo(np.uint64).max
-    smallest = np.minimum.reduceat(inside, begin)
-    _, back, times = np.unique(smallest, return_inverse=True, return_counts=True)
+    _, back, times = np.unique(np.concatenate(least), return_inverse=True, return_counts=True)
     live = np.flatnonzero((times[back] > 1) | (head["many"] > 0))
-    if not len(live):
-        return np.zeros(0, _SPAN)
-    word, head, count = word[ranges(begin[live], count[live])], head[live], count[live]
+    live = live[np.argsort(back[live], kind="stable")]
+    new = np.r_[True, back[live][1:] != back[live][:-1]][: len(live)]
+    before = np.cumsum(count[live]) - count[live]
+    part = np.maximum.accumulate(np.where(new, before, 0)) // PART_WORDS
+    for some in np.split(live, np.flatnonzero(np.diff(part)) + 1):
+        if len(some):
+            yield _repeated(head[some], word[ranges(begin[some], count[some])], count[some], window)
+
+
+def _repeated(head: np.ndarray, word: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Spans of the windows that stand in more than one place, of strings with all their minimisers' others."""
     begin = np.cumsum(count) - count
     n = head["windows"].astype(np.int64)
     at = ranges(begin, n)
@@ -301,6 +330,10 @@ def repeated_words(docs: DataFrame, buckets: int, partitions: int, window: int =
             if len(spans):
                 yield pa.RecordBatch.from_arrays([pa.array(spans["k1"]), pa.array(spans["k2"]), pa.array(spans["first"].astype(np.int32)), pa.array(spans["last"].astype(np.int32))], names=["k1", "k2", "first", "last"])
 
+        def found(held: list[bytes]):
+            for spans in repeated_spans(held, window, gram, hot) if held else ():
+                yield from out(spans)
+
         now, held = None, []
         for batch in batches:
             for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -308,12 +341,10 @@ def repeated_words(docs: DataFrame, buckets: int, partitions: int, window: int =
                     yield from out(np.frombuffer(blob.as_py(), _SPAN))
                     continue
                 if b != now:
-                    if held:
-                        yield from out(repeated_spans(held, window, gram, hot))
+                    yield from found(held)
                     now, held = b, []
                 held.append(blob.as_py())
-        if held:
-            yield from out(repeated_spans(held, window, gram, hot))
+        yield from found(held)
 
     dealt = _packed(docs, buckets, window, gram, hot).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(releasing(solve), "k1 long, k2 long, first int, last int")
